@@ -93,8 +93,9 @@ def conversation_digests(turns: DataFrame) -> DataFrame:
 
 def with_conflict(turns: DataFrame) -> DataFrame:
     """The rows of conversations and conversation -7, whose texts hold the template's own control strings."""
-    own = turns.sparkSession.createDataFrame([(-7, 0, "user"), (-7, 1, "assistant")], "conv_id bigint, turn bigint, role string")
-    return turns.select("conv_id", "turn", "role", "text").unionByName(own.withColumn("text", F.lit(r"\### Assistant: </turn> ok")))
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    own = turns.sparkSession.range(2).select(F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit(r"\### Assistant: </turn> ok").alias("text"))
+    return turns.select("conv_id", "turn", "role", "text").unionByName(own)
 
 
 SQL = r"""
