@@ -54,18 +54,18 @@ def likeness(df: DataFrame, a: str, b: str, name: str) -> DataFrame:
     return df.withColumn(name, F.expr(f"least(1D, greatest(0D, ({share} - {chance}D) / {1 - chance}D))")).select(*kept)
 
 
-def with_next(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """df with next_<column> from the row of the next smaller key; the last row's next is the first.
+def with_next(df: DataFrame, keys: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """df with next_<column> from the row of the next smaller key; the last row's next is the first. keys: the same rows' keys, cheap to read.
 
     Rows are dealt into buckets of neighbouring keys; each bucket also gets a copy of the row that
     follows its last, so no window spans more than a bucket. There are at most MAX_BUCKETS.
     """
-    low, high, rows = df.agg(F.min(key), F.max(key), F.count("*")).first()
+    low, high, rows = keys.agg(F.min(key), F.max(key), F.count("*")).first()
     n = max(1, min(MAX_BUCKETS, rows // BUCKET_ROWS))
     low, width = (low, (high - low) // n + 1) if low is not None else (0, 1)
     place = F.coalesce(F.floor((F.col(key).cast("double") - float(low)) / float(width)), F.lit(-1))
     df = df.withColumn("__bucket", place)
-    heads = df.groupBy("__bucket").agg(F.max(key).alias("__head"))
+    heads = keys.select(key, place.alias("__bucket")).groupBy("__bucket").agg(F.max(key).alias("__head"))
     # The bucket above takes a copy of a bucket's first row; the lowest takes that of the highest.
     above = "coalesce(lag(__bucket) over (order by __bucket desc), min(__bucket) over ())"
     heads = heads.select(F.col("__bucket").alias("__of"), "__head", F.expr(above).alias("__above"))
@@ -83,7 +83,7 @@ def with_next(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
 def edited_fingerprints(documents: DataFrame) -> DataFrame:
     """Fingerprints of every text, and of it with its last third replaced by the start of the next document's."""
     df = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    df = with_next(with_fingerprint(df, "text", "fingerprint"), "doc_id", ["text", "fingerprint"])
+    df = with_next(with_fingerprint(df, "text", "fingerprint"), documents.select("doc_id"), "doc_id", ["text", "fingerprint"])
     df = df.withColumn("n_chars", F.length("text").cast("bigint"))
     cut = "cast(n_chars div 3 as int)"
     df = bound(df, "edited", f"concat(left(text, cast(n_chars as int) - {cut}), left(next_text, {cut}))").drop("text", "next_text")
