@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import urls
 
-LARGE_SHARE, LARGE_ROWS = 20_000, 2_000
+LARGE_SHARE, LARGE_ROWS = 20_000, 500
 MAX_BITS = 1 << 29
 
 # HTML's elements that break lines, that hold no text, and that end a paragraph's parent.
