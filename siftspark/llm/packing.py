@@ -130,6 +130,6 @@ def pack(documents: DataFrame, vocabulary: str, length: int = LENGTH) -> DataFra
     slot = spark.createDataFrame(places, "slot_length bigint, low bigint, high bigint, first bigint, offset bigint")
     if len(places) <= 100 * length:
         slot = F.broadcast(slot)
-    rows = rows.join(before, ["part", "length"]).withColumn("rank", F.col("rank") + F.col("before"))
+    rows = rows.join(before.hint("merge"), ["part", "length"]).withColumn("rank", F.col("rank") + F.col("before"))
     rows = rows.join(slot, (F.col("length") == F.col("slot_length")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
     return rows.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("first") + F.col("rank") - F.col("low")).alias("sequence_id"), "offset")
