@@ -152,8 +152,8 @@ def _info(sizes: list[int]) -> bytes:
     # All frames but the last have one size, so a frame's place needs no running sum.
     toc = bytes(min(255, 256 * (size + (n * i // 100) * sizes[0]) // total) for i in range(100))
     kind = b"Info" if len(set(sizes)) == 1 else b"Xing"
-    head = struct.pack(">I", 0xFFFB08C0 | 3 << 12)
-    frame = head + bytes(17) + kind + struct.pack(">III", 15, n, total) + toc + struct.pack(">I", 100)
+    head = struct.pack(">I", 0xFFFA08C0 | 3 << 12)
+    frame = head + struct.pack(">H", frame_crc(head[2:] + bytes(17))) + bytes(17) + kind + struct.pack(">III", 15, n, total) + toc + struct.pack(">I", 100)
     frame += b"siftspark" + bytes(12) + bytes(3) + bytes(4) + struct.pack(">I", total) + bytes(2)
     frame += struct.pack(">H", tag_crc(frame))
     return frame + bytes(size - len(frame))
@@ -174,11 +174,11 @@ def parse(data: bytes | None) -> dict:
     while at + 4 <= end:
         word = unpack(data, at)[0]
         found = header(word)
-        ok = found is not None and at + found[4] <= end and (kind is None or found[:3] == kind)
+        ok = found is not None and at + found[4] <= end and (kind is None or (*found[:3], found[5]) == kind)
         if ok and (not synced or kind is None):  # a first or regained frame must be followed by another, or by the end
             after = at + found[4]
             then = header(unpack(data, after)[0]) if after + 4 <= end else None
-            ok = then is not None and then[:3] == found[:3] or after == end
+            ok = then is not None and (*then[:3], then[5]) == (*found[:3], found[5]) or after == end
         if not ok:
             resyncs += synced
             synced = False
@@ -189,7 +189,7 @@ def parse(data: bytes | None) -> dict:
         version, layer, hz, count, size, checked = found
         synced = True
         first = kind is None
-        kind = found[:3]
+        kind = (*found[:3], found[5])
         body = at + 4 + 2 * checked
         side = _side(version, word) if layer == 3 else 0
         if checked and layer == 3:

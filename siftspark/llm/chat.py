@@ -39,6 +39,10 @@ def _count(text: Column, what: str) -> Column:
     return (F.length(text) - F.length(F.replace(text, F.lit(what), F.lit("")))) / len(what)
 
 
+def _given(field: str) -> Column:
+    return F.transform("turns", lambda t: t[field])
+
+
 def conversations(turns: DataFrame) -> DataFrame:
     """conv_id and turns, the array of (turn, role, text) in order."""
     row = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
@@ -58,7 +62,7 @@ def formatted(turns: DataFrame) -> DataFrame:
     df = bound(df, "__raw", render("raw", lambda t: part(t, lambda x, _: x)))
     ends = F.size("turns")
     fine = (_count(F.col("__raw"), OPEN) == ends) & (_count(F.col("__raw"), CLOSE) == ends)
-    df = bound(df, "__same", fine & (F.regexp_extract_all("__raw", F.lit(TURN), F.lit(1)) == F.col("turns.role")) & (F.regexp_extract_all("__raw", F.lit(TURN), F.lit(2)) == F.col("turns.text")))
+    df = bound(df, "__same", fine & (F.regexp_extract_all("__raw", F.lit(TURN), F.lit(1)) == _given("role")) & (F.regexp_extract_all("__raw", F.lit(TURN), F.lit(2)) == _given("text")))
     df = bound(df, "formatted", F.when(F.col("__same"), F.col("__raw")).otherwise(render("escaped", lambda t: part(t, escape)))).drop("__raw")
     return reparsed(df.drop("__same"))
 
@@ -67,7 +71,7 @@ def reparsed(df: DataFrame) -> DataFrame:
     """df (conv_id, turns, formatted) with roles and texts read back from `formatted`; an error if they are not the source's."""
     read = lambda k: F.when(F.startswith("formatted", F.lit("<chat raw>\n")), F.regexp_extract_all("formatted", F.lit(TURN), F.lit(k))).otherwise(F.transform(F.regexp_extract_all("formatted", F.lit(TURN), F.lit(k)), unescape))
     df = bound(bound(df, "roles", read(1)), "texts", read(2))
-    right = (F.col("roles") == F.col("turns.role")) & (F.col("texts") == F.col("turns.text"))
+    right = (F.col("roles") == _given("role")) & (F.col("texts") == _given("text"))
     return df.withColumn("texts", F.when(right, F.col("texts")).otherwise(F.raise_error(F.lit("a conversation does not survive its round trip")).cast("array<string>")))
 
 

@@ -149,17 +149,23 @@ def scores(column: pa.Array, weights: np.ndarray) -> np.ndarray:
     return out
 
 
-def score(documents: DataFrame, weights: np.ndarray, keep: list[str] | None = None, name: str = "score") -> DataFrame:
-    """documents (or its columns `keep`) with a column `name`; whole texts are scored."""
-    kept = documents.select(*[documents[c] for c in keep or documents.columns], documents["text"].alias("__text"))
+def score(documents: DataFrame, weights: np.ndarray, keep: list[str] | None = None, above: float | None = None) -> DataFrame:
+    """documents (or its columns `keep`) with a last column score, or without it only the rows that score `above` or more. Whole texts are scored."""
+    names = keep or documents.columns
+    place = names.index("text") if "text" in names else len(names)
+    columns = [documents[c].alias(f"c{i}") for i, c in enumerate(names)]  # so that no name can clash
+    rows = documents.select(*columns, *([documents["text"]] if place == len(names) else []))
     model = documents.sparkSession.sparkContext.broadcast(weights)  # 1 MB, whatever the input
+    fields = [*rows.schema.fields[: len(names)], T.StructField("score", T.DoubleType())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = scores(batch.column(batch.num_columns - 1), model.value)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found)], names=[*batch.schema.names[:-1], name])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(scores(batch.column(place), model.value))], names=[f.name for f in fields])
 
-    return kept.mapInArrow(run, T.StructType([*kept.schema.fields[:-1], T.StructField(name, T.DoubleType())]))
+    out = rows.mapInArrow(run, T.StructType(fields))
+    if above is not None:
+        return out.where(F.col("score") >= above).select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)))
+    return out.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)), "score")
 
 
 def quality_scores(documents: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
@@ -170,4 +176,4 @@ def quality_scores(documents: DataFrame, labels: DataFrame, threshold: float = 0
 
 def accepted(documents: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """The rows of documents, with all their columns, that the classifier does not reject."""
-    return score(documents, fit(documents, labels), name="__score").where(F.col("__score") >= threshold).drop("__score")
+    return score(documents, fit(documents, labels), above=threshold)
