@@ -123,12 +123,14 @@ def normalize(url: Column, base: Column | None = None, lowercase_path: bool = Fa
     junk = u.rlike(JUNK_RE)
     if base is not None:
         u = resolve(u, joinable_base(base))
-    p = F.regexp_replace(F.when(path(u) == "", "/").otherwise(path(u)), "/+", "/")
+    params = F.regexp_extract(path(u), "(;[^/]+)$", 1)  # of the last segment; they stay, but are no part of the path
+    p = F.regexp_replace(path(u), ";[^/]*$", "")
+    p = F.regexp_replace(F.when(p == "", "/").otherwise(p), "/+", "/")
     p = F.lower(p) if lowercase_path else p
     p = F.when(p == "/", p).otherwise(F.regexp_replace(p, "/+$", ""))
     host = F.regexp_replace(domain(u), r"^www\.", "") if strip_www else domain(u)
     q = form_query(query(u), TRACKING_PARAMS)
-    whole = F.concat(scheme(u), F.lit("://"), host, p, F.when(q != "", F.concat(F.lit("?"), q)).otherwise(""))
+    whole = F.concat(scheme(u), F.lit("://"), host, p, params, F.when(q != "", F.concat(F.lit("?"), q)).otherwise(""))
     return F.when(~junk & is_valid(u) & ~p.rlike(SKIP_RE), whole)
 
 

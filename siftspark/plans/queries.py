@@ -115,12 +115,11 @@ def url_origin_names(s: SparkSession, d: str) -> DataFrame:
 # ---- Scope
 
 ROOT = "https://blog.tionsh.example.net/en"
-_ROOT_OF = F.concat(U.origin(F.col("url")), F.lit("/en"))
 
 
 @_query(f"WITH {_PARTS}, {_CANON} SELECT page_id, path = '/en' OR starts_with(path, '/en/') AS in_scope FROM c")
 def scope_filter_subtree(s: SparkSession, d: str) -> DataFrame:
-    return _pages(s, d).select("page_id", scope.in_scope(F.col("url"), _ROOT_OF).alias("in_scope"))
+    return _pages(s, d).select("page_id", scope.in_scope(F.col("url"), F.concat(U.origin(F.col("url")), F.lit("/en"))).alias("in_scope"))
 
 
 @_query(f"""WITH {_PARTS}, {_CANON}, k AS (SELECT *, array_to_string(list_filter(string_split(query, '&'), lambda p: split_part(p, '=', 1) <> 'ref'), '&') AS q FROM c)
