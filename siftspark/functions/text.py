@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed values.
@@ -78,12 +78,20 @@ def table_text(headers: Column, rows: Column) -> Column:
     return F.array_join(lines, "\n")
 
 
-def simhash(text: Column) -> Column:
-    """64-bit simhash of lower-cased words as 16 hex digits; a bit is set where at least half of the words' md5 (its low half) have it."""
-    bits = F.transform(words(F.lower(text)), lambda w: F.conv(F.substring(F.md5(w), 17, 16), 16, -10).cast("bigint"))
-    vote = lambda k: F.size(F.filter(bits, lambda b: F.getbit(b, k) == 1)) * 2 >= F.size(bits)
-    nibble = lambda n: F.hex(sum((F.when(vote(F.lit(4 * n + i)), 1 << i).otherwise(0) for i in range(4)), F.lit(0)))
-    return F.lower(F.concat(*(nibble(n) for n in range(15, -1, -1))))
+def simhash(df: DataFrame, text: str, name: str = "simhash") -> DataFrame:
+    """df without `text`, with its 64-bit simhash as 16 hex digits: a bit is set where at least half of the lower-cased words' md5 (its low half) have it, and all are for a text without words.
+
+    One row a word, summed bit by bit: a row's words are in one task, so partial sums meet one row each.
+    """
+    rest = [c for c in df.columns if c != text]
+    rows = df.withColumn("__row", F.monotonically_increasing_id())
+    rows = rows.select("__row", *rest, F.explode_outer(words(F.lower(text))).alias("__word"))
+    rows = rows.withColumn("__bits", F.conv(F.substring(F.md5("__word"), 17, 16), 16, -10).cast("bigint"))
+    sums = [F.sum(F.shiftrightunsigned("__bits", k).bitwiseAND(F.lit(1))).alias(f"__b{k}") for k in range(64)]
+    votes = rows.groupBy("__row", *rest).agg(F.count("__word").alias("__n"), *sums)
+    bit = lambda k: (F.coalesce(F.col(f"__b{k}"), F.lit(0)) * 2 >= F.col("__n")).cast("int")
+    digit = lambda n: F.substring(F.lit("0123456789abcdef"), 1 + bit(4 * n) + 2 * bit(4 * n + 1) + 4 * bit(4 * n + 2) + 8 * bit(4 * n + 3), 1)
+    return votes.select(*rest, F.concat(*(digit(n) for n in range(15, -1, -1))).alias(name))
 
 
 def hamming(a: Column, b: Column) -> Column:

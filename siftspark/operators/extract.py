@@ -23,6 +23,11 @@ def unescape(text: Column) -> Column:
     return text
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def plain(markup: Column) -> Column:
     """Markup as text: scripts, styles and comments dropped, tags as spaces, white space collapsed."""
     bare = F.regexp_replace(markup, r"(?is)<(script|style|noscript)\b.*?</(script|style|noscript)\s*>|<!--.*?-->", " ")
@@ -58,13 +63,18 @@ def headings(markup: Column) -> Column:
 def main_text(markup: Column) -> Column:
     """Text of `<main>`, else `<article>`, else the body, without navigation, header, footer and forms."""
     bare = F.regexp_replace(markup, r"(?is)<(script|style|nav|header|footer|aside|form|noscript)\b.*?</(script|style|nav|header|footer|aside|form|noscript)\s*>", " ")
-    return F.coalesce(*(F.nullif(plain(_element(bare, t)), F.lit("")) for t in ("main", "article")), plain(F.regexp_extract(bare, r"(?is)<body\b[^>]*>(.*?)(</body\s*>|$)", 1)))
+    def text(b: Column) -> Column:
+        inner = F.when(b.rlike(r"(?i)<main\b"), _element(b, "main")).when(b.rlike(r"(?i)<article\b"), _element(b, "article")).otherwise(F.lit(""))
+        return let(plain(inner), lambda t: F.when(t != "", t).otherwise(plain(F.regexp_extract(b, r"(?is)<body\b[^>]*>(.*?)(</body\s*>|$)", 1))))
+
+    return let(bare, text)
 
 
 def links(pages: DataFrame, key: str = "page_id") -> DataFrame:
     """key, url, pos, href and dst: the absolute URL of each link in page order."""
     found = pages.select(key, "url", F.posexplode(F.regexp_extract_all("html", F.lit(r"""(?is)<a\b[^>]*?\bhref=["']([^"']*)["']"""), F.lit(1))).alias("pos", "href"))
-    return found.withColumn("dst", U.normalize(F.col("href"), F.col("url")))
+    # A generator keeps the long expression from being inlined wherever dst is read.
+    return found.select("*", F.explode(F.array(U.normalize(F.col("href"), F.col("url")))).alias("dst"))
 
 
 def link_class(url: Column, href: Column, dst: Column, accepted: Column) -> Column:

@@ -302,7 +302,7 @@ _BITS = " ".join(f"+ (CASE WHEN 2 * sum((h >> {k}) & 1) >= count(*) THEN (1::UBI
 @_query(rf"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '\S+')) AS w FROM documents), h AS (SELECT doc_id, ('0x' || substr(md5(w), 17, 16))::UBIGINT AS h FROM w),
 v AS (SELECT doc_id, lpad(lower(to_hex(0::UBIGINT {_BITS})), 16, '0') AS simhash FROM h GROUP BY doc_id) SELECT doc_id, coalesce(simhash, 'ffffffffffffffff') AS simhash FROM documents LEFT JOIN v USING (doc_id)""")
 def simhash64(s: SparkSession, d: str) -> DataFrame:
-    return _docs(s, d).select("doc_id", T.simhash(F.col("text")).alias("simhash"))
+    return T.simhash(_docs(s, d).select("doc_id", "text"), "text")
 
 
 @_query("SELECT doc_id, bit_count(xor(('0x' || substr(md5(text), 1, 16))::UBIGINT, ('0x' || substr(md5(text), 17, 16))::UBIGINT))::INT AS distance FROM documents")

@@ -1,5 +1,6 @@
 """Text, gates, extraction, sections, chunks, robots and sources on literal cases."""
 
+import hashlib
 import random
 
 from pyspark.sql import functions as F
@@ -62,7 +63,9 @@ def test_both_chunkers_agree(spark):
 
 def test_text(spark):
     assert one(spark, " a\n\n\n\nb   c ", T.clean) == "a\n\nb c" and one(spark, "see http://x/y now", lambda v: T.clean(v, remove_urls=True)) == "see  now"
-    assert one(spark, "", T.simhash) == "f" * 16 and one(spark, "f" * 16, lambda v: T.hamming(v, F.lit("0" * 15 + "1"))) == 63
+    hashes = T.simhash(spark.createDataFrame([(1, ""), (2, None), (3, "same same"), (4, "Same")], "i int, t string"), "t").orderBy("i").collect()
+    assert [r["simhash"] for r in hashes[:2]] == ["f" * 16] * 2 and hashes[2]["simhash"] == hashes[3]["simhash"] == hashlib.md5(b"same").hexdigest()[16:]
+    assert one(spark, "f" * 16, lambda v: T.hamming(v, F.lit("0" * 15 + "1"))) == 63
     assert one(spark, "H2: x", T.heading_level) == 2 and one(spark, "x", T.heading_level) == 0
     assert one(spark, "u", lambda v: T.chunk_id(v, F.lit(7))) == "u_0007"
     assert one(spark, "a Back to Home\nON\n\n\n\nb", lambda v: T.without_phrases(v, T.PORTAL_PHRASES)) == "a \n\nb"
