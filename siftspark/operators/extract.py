@@ -23,11 +23,6 @@ def unescape(text: Column) -> Column:
     return text
 
 
-def let(value: Column, body) -> Column:
-    """body(value) with value computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def plain(markup: Column) -> Column:
     """Markup as text: scripts, styles and comments dropped, tags as spaces, white space collapsed."""
     bare = F.regexp_replace(markup, r"(?is)<(script|style|noscript)\b.*?</(script|style|noscript)\s*>|<!--.*?-->", " ")
@@ -65,9 +60,9 @@ def main_text(markup: Column) -> Column:
     bare = F.regexp_replace(markup, r"(?is)<(script|style|nav|header|footer|aside|form|noscript)\b.*?</(script|style|nav|header|footer|aside|form|noscript)\s*>", " ")
     def text(b: Column) -> Column:
         inner = F.when(b.rlike(r"(?i)<main\b"), _element(b, "main")).when(b.rlike(r"(?i)<article\b"), _element(b, "article")).otherwise(F.lit(""))
-        return let(plain(inner), lambda t: F.when(t != "", t).otherwise(plain(F.regexp_extract(b, r"(?is)<body\b[^>]*>(.*?)(</body\s*>|$)", 1))))
+        return U.let(plain(inner), lambda t: F.when(t != "", t).otherwise(plain(F.regexp_extract(b, r"(?is)<body\b[^>]*>(.*?)(</body\s*>|$)", 1))))
 
-    return let(bare, text)
+    return U.let(bare, text)
 
 
 def links(pages: DataFrame, key: str = "page_id") -> DataFrame:

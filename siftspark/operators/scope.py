@@ -13,13 +13,18 @@ from ..functions import urls as U
 
 def in_scope(candidate: Column, root: Column, cross_scheme: bool = True) -> Column:
     """Same host, and a path equal to the root's scope path or below it."""
-    c, r = U.canonical(candidate), U.canonical(root)
-    base = U.scope_path(r["path"])
-    below = (base == "/") | (c["path"] == base) | F.startswith(c["path"], F.concat(base, F.lit("/")))
-    same = c["host"] == r["host"]
-    if not cross_scheme:
-        same &= c["scheme"] == r["scheme"]
-    return F.coalesce(same & below, F.lit(False))
+
+    def inside(c: Column) -> Column:
+        def of(r: Column) -> Column:
+            base = U.scope_path(r["path"])
+            same = c["host"] == r["host"]
+            if not cross_scheme:
+                same &= c["scheme"] == r["scheme"]
+            return same & U.let(base, lambda b: (b == "/") | (c["path"] == b) | F.startswith(c["path"], F.concat(b, F.lit("/"))))
+
+        return U.let(U.canonical(root), of)
+
+    return F.coalesce(U.let(U.canonical(candidate), inside), F.lit(False))
 
 
 def _valid(pattern: str) -> bool:
