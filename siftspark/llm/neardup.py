@@ -244,8 +244,14 @@ def components(documents: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
 
 def distinct_documents(documents: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each group, with all columns: the one whose doc_id is the component's. Rows that repeat a kept doc_id shrink to one."""
-    found = common.store(components(documents, words, percent).where("kept").select(F.col("doc_id").alias("__kept")), "kept")
-    ids = found.distinct()
-    kept = documents.join(ids, documents["doc_id"] == ids["__kept"], "left_semi")
-    return kept.dropDuplicates(["doc_id"]) if found.count() > ids.count() else kept
+    """One document of each group, with all columns: the one whose doc_id is the component's.
+
+    Rows that repeat a kept doc_id shrink to one. Rows without an id stay: none can stand for a group.
+    Only ids that go are joined, as they are fewer than those that stay.
+    """
+    found = common.store(components(documents, words, percent).where("doc_id is not null").groupBy("doc_id").agg(F.count_if("kept").alias("kept")), "kept")
+    gone = common.store(found.where("kept = 0").select(F.col("doc_id").alias("__gone")), "gone")
+    kept = documents.join(gone, documents["doc_id"] == gone["__gone"], "left_anti")
+    if found.where("kept > 1").isEmpty():
+        return kept
+    return kept.where(documents["doc_id"].isNotNull()).dropDuplicates(["doc_id"]).unionByName(kept.where(documents["doc_id"].isNull()))
