@@ -119,17 +119,19 @@ def fit(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> np
     """The weights. The sample has at most max_rows rows, so it is broadcast to the scan of documents."""
     sample = common.store(labelled(labels, max_rows), "labelled")
     shards = max(1, round(sample.count() / SHARD_ROWS))
-    rows = documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(shards)).alias("shard"), "text", "quality")
+    rows = documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(shards)).alias("shard"), "doc_id", "text", "quality")
 
     def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vectors, marks = [], []
+        vectors, marks, ids = [], [], []
         for batch in batches:
             vectors += features(batch.column("text"))
             marks += batch.column("quality").to_pylist()
-        w = ftrl(vectors, np.array(marks, np.float64))
-        yield pa.RecordBatch.from_arrays([pa.array([len(marks)], pa.int64()), pa.array([w.tobytes()], pa.binary())], names=["n", "w"])
+            ids += batch.column("doc_id").to_pylist()
+        order = np.argsort(ids, kind="stable")  # rows come in any order, and the updates depend on it
+        w = ftrl([vectors[i] for i in order], np.array(marks, np.float64)[order])
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int64()), pa.array([len(marks)], pa.int64()), pa.array([w.tobytes()], pa.binary())], names=["shard", "n", "w"])
 
-    found = rows.groupBy("shard").applyInArrow(run, "n bigint, w binary").collect()
+    found = sorted(rows.groupBy("shard").applyInArrow(run, "shard bigint, n bigint, w binary").collect())
     total = sum(r["n"] for r in found)
     out = np.zeros((1 << BITS) + 1, np.float32)
     for r in found:
