@@ -95,3 +95,19 @@ def hierarchy(pages: DataFrame, sections: str, url: str) -> DataFrame:
     steps = F.transform(F.sequence(F.lit(1), F.size(sections)), lambda n: F.struct(F.array_join(F.slice(sections, F.lit(1), n), " > ").alias("path"), n.alias("level")))
     rows = pages.where(F.size(sections) > 0).select(F.explode(steps).alias("s"), url)
     return rows.groupBy("s.path", "s.level").agg(F.count("*").alias("pages"), F.min(url).alias("first_url"))
+
+
+def inherited(paths: DataFrame) -> DataFrame:
+    """(node, parent, section_path) with empty paths taken from the nearest ancestor that has one.
+
+    Pointers double, so a chain of n pages takes log n joins. A circle of empty pages stays empty.
+    """
+    known = _stored(paths.select("node", F.coalesce("section_path", F.array().cast("array<string>")).alias("section_path"), F.col("parent").alias("up")))
+    for _ in range(64):
+        if known.where("size(section_path) = 0 and up is not null").isEmpty():
+            break
+        other = known.toDF("__node", "__path", "__up")
+        empty = F.col("up").isNotNull() & (F.size("section_path") == 0)
+        both = known.join(other, empty & (F.col("up") == F.col("__node")), "left")
+        known = _stored(both.select("node", F.when(empty, F.coalesce("__path", "section_path")).otherwise(F.col("section_path")).alias("section_path"), F.when(empty, F.col("__up")).otherwise(F.col("up")).alias("up")))
+    return known.select("node", "section_path")

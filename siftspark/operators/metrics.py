@@ -69,3 +69,21 @@ def coverage(source: DataFrame, crawl: DataFrame) -> DataFrame:
     tips = F.when(F.col("total_crawled") < F.col("total_source"), F.least(F.col("total_source") + 50, F.col("total_source") * 2))
     verdict = F.when(F.col("coverage_pct") >= 90, "excellent").when(F.col("coverage_pct") >= 70, "good").when(F.col("coverage_pct") >= 40, "moderate").otherwise("low")
     return df.withColumn("suggested_pages", tips).withColumn("verdict", verdict)
+
+
+def expansion(clicks: DataFrame, key: str, order: list[str], meaningful: Column, most_wasted: int = 15, most_clicks: int = 50) -> DataFrame:
+    """Per key, of the clicks that are made: attempted, meaningful_clicks, wasted_clicks, stopped_early, hit_limit.
+
+    A key's clicks stop after `most_wasted` in a row that bring nothing, or after `most_clicks`. Null outcomes are wasted.
+    """
+    w = Window.partitionBy(key).orderBy(*order)
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    df = clicks.select(key, *(c for c in order if c != key), F.coalesce(meaningful, F.lit(False)).alias("__good"))
+    df = df.withColumn("__i", F.row_number().over(w))
+    df = df.withColumn("__run", F.col("__i") - F.coalesce(F.max(F.when(F.col("__good"), F.col("__i"))).over(so_far), F.lit(0)))
+    df = df.withColumn("__stops", F.count_if(F.col("__run") >= most_wasted).over(so_far) - (F.col("__run") >= most_wasted).cast("int"))
+    df = df.where((F.col("__stops") == 0) & (F.col("__i") <= most_clicks))
+    return df.groupBy(key).agg(
+        F.count("*").alias("attempted"), F.count_if("__good").alias("meaningful_clicks"), F.count_if(~F.col("__good")).alias("wasted_clicks"),
+        (F.max("__run") >= most_wasted).alias("stopped_early"), (F.count("*") >= most_clicks).alias("hit_limit"),
+    )

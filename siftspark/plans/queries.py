@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import urls as U
-from ..operators import chunking, extract, gates, graph, metrics, robots, scope, sections
+from ..operators import chunking, extract, gates, graph, metrics, navigation, report, robots, scope, sections
 from ..sources import files
 from ..sources.tables import shared_dir, table
 from ..streaming import runs
@@ -436,10 +436,16 @@ def rag_chunks(s: SparkSession, d: str) -> DataFrame:
 _RANKED = "p AS (SELECT lower(regexp_extract(url, '^[^:]*://([^/?#]*)', 1)) AS host, page_id FROM pages), k AS (SELECT host, row_number() OVER (PARTITION BY host ORDER BY page_id) AS i, count(*) OVER (PARTITION BY host) AS n FROM p)"
 
 
+def _ranked(s: SparkSession, d: str) -> DataFrame:
+    """host, page_id, i and n: each page's rank among its host's n pages."""
+    w = Window.partitionBy("host")
+    df = _pages(s, d).select(U.domain(F.col("url")).alias("host"), "page_id")
+    return df.withColumn("i", F.row_number().over(w.orderBy("page_id"))).withColumn("n", F.count("*").over(w))
+
+
 def _edges(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Links between a host's pages by rank: i to 2i and 2i + 1 and back to i div 2. (No link of the pages leads to another page of the table.)"""
-    w = Window.partitionBy("host")
-    k = _pages(s, d).select(U.domain(F.col("url")).alias("host"), "page_id").withColumn("i", F.row_number().over(w.orderBy("page_id"))).withColumn("n", F.count("*").over(w))
+    k = _ranked(s, d)
     to = F.filter(F.array(F.expr("2 * i"), F.expr("2 * i + 1"), F.expr("i div 2")), lambda x: (x > 0) & (x <= F.col("n")))
     name = lambda i: F.concat("host", F.lit("#"), i.cast("string"))
     edges = k.select("host", name(F.col("i")).alias("src"), F.posexplode(to).alias("pos", "j")).select("host", "src", "pos", name(F.col("j")).alias("dst"))
@@ -604,9 +610,101 @@ def session_expiry(s: SparkSession, d: str) -> DataFrame:
     return extract.links(_pages(s, d)).select("page_id", "pos", gates.session_expired(F.col("dst"), F.col("url")).alias("expired"))
 
 
+# ---- Navigation, help pages, printed reports
+
+
+@_query()
+def page_places(s: SparkSession, d: str) -> DataFrame:
+    found = navigation.places(_pages(s, d))
+    return found.select("page_id", F.array_join("breadcrumb", " > ").alias("breadcrumb"), F.array_join("section_path", " > ").alias("section_path"), F.size("routes").alias("routes"))
+
+
+@_query(rf"""WITH {_PARTS}, v AS (SELECT u.page_id, scheme, netloc, regexp_extract_all(array_to_string(regexp_extract_all(html, '(?is)<nav\b.*?</nav\s*>'), ''), '(?is)<a\b[^>]*?\bhref="(/[^"]*)"', 1) AS hrefs FROM u JOIN pages p USING (page_id, url)),
+l AS (SELECT page_id, scheme, netloc, unnest(hrefs) AS href, generate_subscripts(hrefs, 1) - 1 AS pos FROM v)
+SELECT page_id, scheme || '://' || lower(netloc) || CASE WHEN href = '/' THEN '/' ELSE regexp_replace(href, '/$', '') END AS dst FROM l GROUP BY ALL""")
+def nav_routes(s: SparkSession, d: str) -> DataFrame:
+    return navigation.site_routes(navigation.places(_pages(s, d))).select("page_id", "dst")
+
+
+@_query(f"""WITH RECURSIVE {_RANKED}, r AS (SELECT host, i, CASE WHEN i = 1 THEN host WHEN i % 3 = 0 THEN host || '#' || i END AS own FROM k),
+w AS (SELECT host, i, own AS section, i AS up FROM r UNION ALL SELECT w.host, w.i, r.own, r.i FROM w JOIN r ON r.host = w.host AND r.i = w.up // 2 WHERE w.section IS NULL)
+SELECT host || '#' || i AS node, section FROM w WHERE section IS NOT NULL""")
+def section_inherit(s: SparkSession, d: str) -> DataFrame:
+    k = _ranked(s, d)
+    name = lambda i: F.concat("host", F.lit("#"), i.cast("string"))
+    i = F.col("i")
+    own = F.when(i == 1, F.array("host")).when(i % 3 == 0, F.array(name(i)))
+    found = graph.inherited(k.select(name(i).alias("node"), F.when(i > 1, name(F.expr("i div 2"))).alias("parent"), own.alias("section_path")))
+    return found.select("node", F.array_join("section_path", " > ").alias("section"))
+
+
+@_query(rf"""WITH {_PARTS}, h AS (SELECT u.page_id, scheme || '://' || netloc AS origin, regexp_extract_all(html, '(?i)href=["'']([^"'']*\.html?)["'']', 1) AS hrefs FROM u JOIN pages p USING (page_id, url))
+SELECT page_id, len(list_distinct(hrefs))::INT AS links, coalesce(origin || hrefs[1], '') AS first_link FROM h""")
+def help_links(s: SparkSession, d: str) -> DataFrame:
+    found = navigation.help_links(F.col("html"), F.col("url"))
+    return _pages(s, d).select("page_id", found.alias("links")).select("page_id", F.size("links").alias("links"), F.coalesce(F.get("links", F.lit(0)), F.lit("")).alias("first_link"))
+
+
+@_query()
+def help_profile(s: SparkSession, d: str) -> DataFrame:
+    found = navigation.profiles(_pages(s, d))
+    text = navigation.portal_text(F.col("text"), F.col("tables"), F.col("cards"))
+    return found.select("page_id", "title", F.md5(text).alias("text_md5"), T.word_count(text).cast("bigint").alias("words"), F.size("code_blocks").alias("code_blocks"), F.size("tables").alias("tables"))
+
+
+@_query(f"WITH {_PAGE_TEXT}, a AS (SELECT t.page_id, body, {_plain('html')} AS whole FROM t JOIN pages p USING (page_id, url)), n AS (SELECT *, {_WORDS.format('whole')} > {_WORDS.format('body')} * 1.2::DOUBLE AS other FROM a) SELECT page_id, other, md5(CASE WHEN other THEN whole ELSE body END) AS text_md5 FROM n")
+def text_preference(s: SparkSession, d: str) -> DataFrame:
+    df = _pages(s, d).select("page_id", extract.main_text(F.col("html")).alias("body"), extract.plain(F.col("html")).alias("whole"))
+    df = df.select("page_id", "body", F.explode(F.array(navigation.preferred_text(F.col("body"), F.col("whole")))).alias("text"))
+    return df.select("page_id", (F.col("text") != F.col("body")).alias("other"), F.md5("text").alias("text_md5"))
+
+
+@_query()
+def report_document(s: SparkSession, d: str) -> DataFrame:
+    return report.document_blocks(sections.rag_chunks(extract.parsed(_pages(s, d)))).select("doc_id", "block_no", "kind", "level", F.md5("text").alias("text_md5"))
+
+
+@_query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), c AS (SELECT doc_id, list_filter(list_transform(string_split(line, '|'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS cells FROM l WHERE NOT regexp_matches(line, '^[-| +]*$'))
+SELECT doc_id, count(*)::INT AS rows, max(len(cells))::INT AS columns, sum(len(cells))::BIGINT AS cells FROM c WHERE len(cells) > 0 GROUP BY doc_id""")
+def report_table_rows(s: SparkSession, d: str) -> DataFrame:
+    df = _docs(s, d).select("doc_id", F.explode(report.table_rows(F.col("text"))).alias("cells")).select("doc_id", F.size("cells").alias("n"))
+    return df.groupBy("doc_id").agg(F.count("*").cast("int").alias("rows"), F.max("n").alias("columns"), F.sum("n").alias("cells"))
+
+
+_BLOCK_TEXT = r"(?is)<(?:h1|p)\b[^>]*>(.*?)</(?:h1|p)\s*>"
+
+
+@_query(rf"""WITH b AS (SELECT page_id, {_H1} AS h, regexp_extract_all(html, '{_BLOCK_TEXT}', 1) AS parts FROM pages), e AS (SELECT page_id, h, unnest(parts) AS part FROM b), q AS (SELECT page_id, h, {_plain('part')} AS p FROM e)
+SELECT page_id, count(*) FILTER (p = h) AS headings, count(*) FILTER (p <> h) AS paragraphs, coalesce(sum(length(p)) FILTER (p <> h), 0)::BIGINT AS chars FROM q WHERE p <> '' GROUP BY page_id""")
+def report_headings(s: SparkSession, d: str) -> DataFrame:
+    text = F.array_join(F.transform(F.regexp_extract_all("html", F.lit(_BLOCK_TEXT), F.lit(1)), extract.plain), "\n\n")
+    df = _pages(s, d).select("page_id", F.explode(report.headed_blocks(text, extract.headings(F.col("html")))).alias("b")).select("page_id", "b.*")
+    head = F.col("kind") == "heading"
+    return df.groupBy("page_id").agg(F.count_if(head).alias("headings"), F.count_if(~head).alias("paragraphs"), F.coalesce(F.sum(F.when(~head, F.length("text"))), F.lit(0)).alias("chars"))
+
+
+@_query("SELECT doc_id, unnest(range(0, (least(length(text), 15000) + 1999) // 2000))::INT AS slice, md5(substr(substr(text, 1, 15000), unnest(range(0, (least(length(text), 15000) + 1999) // 2000)) * 2000 + 1, 2000)) AS slice_md5 FROM documents")
+def report_slices(s: SparkSession, d: str) -> DataFrame:
+    return _docs(s, d).select("doc_id", F.posexplode(report.slices(F.col("text"))).alias("slice", "part")).select("doc_id", "slice", F.md5("part").alias("slice_md5"))
+
+
+@_query("""WITH a AS (SELECT user_id, event_id, value > 50 AS good, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+b AS (SELECT *, i - coalesce(max(CASE WHEN good THEN i END) OVER (PARTITION BY user_id ORDER BY i), 0) AS run FROM a),
+c AS (SELECT *, count(*) FILTER (run >= 3) OVER (PARTITION BY user_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS stops FROM b)
+SELECT user_id, count(*) AS attempted, count(*) FILTER (good) AS meaningful_clicks, count(*) FILTER (NOT good) AS wasted_clicks, max(run) >= 3 AS stopped_early, count(*) >= 50 AS hit_limit FROM c WHERE stops = 0 AND i <= 50 GROUP BY user_id""")
+def expansion_counters(s: SparkSession, d: str) -> DataFrame:
+    """Events as clicks; one with a value above 50 brought something."""
+    return metrics.expansion(table(s, d, "events"), "user_id", ["ts", "event_id"], F.col("value") > 50, most_wasted=3)
+
+
 # ---- Streams and exports
 
 
+@_query(_SQL["token_bucket_waits"])
+def stream_token_bucket(s: SparkSession, d: str) -> DataFrame:
+    return runs.finished(runs.token_bucket(runs.events(s, f"{d}/events.parquet"), "user_id", 1 / 3600), "append")
+
+
 @_query("""WITH w AS (SELECT unnest([0, 10, 20]) AS back, epoch_us(ts) // 10000000 * 10 AS slot FROM events)
 SELECT make_timestamp((slot - back) * 1000000) AS window_start, count(*) AS events, count(*) / 30.0::DOUBLE AS rate FROM w GROUP BY 1""")
 def stream_rolling_rate(s: SparkSession, d: str) -> DataFrame:

@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..sources.tables import shared_dir
 
@@ -37,3 +41,26 @@ def rolling_counts(stream: DataFrame, seconds: int = 30, every: int = 10) -> Dat
 def first_seen(stream: DataFrame, keys: list[str]) -> DataFrame:
     """The keys of the stream, each once."""
     return stream.select(*keys).dropDuplicates(keys)
+
+
+def token_bucket(stream: DataFrame, key: str, rate: float) -> DataFrame:
+    """event_id and wait_us of each request (event_id, key, ts) if a key sends `rate` a second and no bursts.
+
+    The state of a key is when its last request went. A batch's requests of a key are put in order of time, so a
+    batch must fit in memory by key: bound it with the source's maxFilesPerTrigger.
+    """
+    gap = int(1_000_000 / rate)
+
+    def run(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(batches)).sort_values(["at", "event_id"])
+        steps = np.arange(len(rows), dtype=np.int64) * gap
+        at = rows["at"].to_numpy(np.int64)
+        free = at - steps
+        if state.exists:
+            free[:1] = np.maximum(free[:1], state.get[0] + gap)
+        go = np.maximum.accumulate(free) + steps
+        state.update((int(go[-1]),))
+        yield pd.DataFrame({"event_id": rows["event_id"].to_numpy(np.int64), "wait_us": go - at})
+
+    rows = stream.select(key, "event_id", F.unix_micros("ts").alias("at"))
+    return rows.groupBy(key).applyInPandasWithState(run, "event_id bigint, wait_us bigint", "last bigint", "append", GroupStateTimeout.NoTimeout)
