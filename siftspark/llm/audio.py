@@ -30,6 +30,15 @@ BITRATES = {
 }
 RATES = {3: (44100, 48000, 32000), 2: (22050, 24000, 16000), 0: (11025, 12000, 8000)}
 
+# Fixed values of the same standards, layer II: (bits, subbands) of the bit allocation, by bitrate a channel and sample rate.
+ALLOCATION = {
+    "middle": ((4, 11), (3, 12), (2, 4)),
+    "wide": ((4, 11), (3, 12), (2, 7)),
+    "narrow": ((4, 2), (3, 6)),
+    "narrow, 32 kHz": ((4, 2), (3, 10)),
+    "half rate": ((4, 4), (3, 7), (2, 19)),
+}
+
 UNIT = 192
 _OVERHEAD = 4 + 2 + 17  # header, checksum, side information of one channel
 _SIZES = [(i, 144 * k * 1000 // 32000) for i, k in enumerate(BITRATES[True, 3]) if k]
@@ -54,7 +63,7 @@ _FRAME_CRC, _TAG_CRC = _table(0x8005, False), _table(0xA001, True)
 
 @lru_cache(4096)
 def frame_crc(covered: bytes) -> int:
-    """The checksum of a protected frame over the header's last two bytes and the side information."""
+    """The checksum of a protected frame over whole covered bytes: the header's last two and, in layer III, the side information."""
     c = 0xFFFF
     for b in covered:
         c = c << 8 & 0xFFFF ^ _FRAME_CRC[c >> 8 ^ b]
@@ -90,6 +99,43 @@ def _side(version: int, word: int) -> int:
     return (17 if mono else 32) if version == 3 else (9 if mono else 17)
 
 
+def protected_bits(data: bytes, at: int, version: int, layer: int, word: int) -> int:
+    """Bits that a layer I or II frame's checksum covers from `at`, where the frame's bit allocation begins."""
+    mode, channels = word >> 6 & 3, 1 if word >> 6 & 3 == 3 else 2
+    if layer == 1:
+        widths = [4] * 32
+    else:
+        kbit, hz = BITRATES[version == 3, 2][word >> 12 & 15] // channels, RATES[version][word >> 10 & 3]
+        if version != 3:
+            name = "half rate"
+        elif kbit < 56:
+            name = "narrow, 32 kHz" if hz == 32000 else "narrow"
+        else:
+            name = "wide" if kbit >= 96 and hz != 48000 else "middle"
+        widths = [w for w, n in ALLOCATION[name] for _ in range(n)]
+    bound = min(len(widths), 4 * (word >> 4 & 3) + 4) if mode == 1 else len(widths)
+    bits = channels * sum(widths[:bound]) + sum(widths[bound:])
+    if layer == 1:
+        return bits
+    # Layer II: two bits of scale factor selection for each subband and channel that has bits.
+    field = int.from_bytes(data[at : at + (bits + 7) // 8], "big") >> (-bits % 8)
+    chosen, left = 0, bits
+    for i, w in enumerate(widths):
+        for _ in range(channels if i < bound else 1):
+            left -= w
+            if field >> left & (1 << w) - 1:
+                chosen += 1 if i < bound else channels
+    return bits + 2 * chosen
+
+
+def bits_crc(head: bytes, covered: bytes, bits: int) -> int:
+    """The checksum of a protected frame over the header's last two bytes and the first `bits` bits of covered."""
+    c = frame_crc(head + covered[: bits // 8])
+    for k in range(bits % 8):
+        c = (c << 1 ^ (0x8005 if (c >> 15 ^ covered[bits // 8] >> 7 - k) & 1 else 0)) & 0xFFFF
+    return c
+
+
 def _syncsafe(n: int) -> bytes:
     return bytes(n >> s & 127 for s in (21, 14, 7, 0))
 
@@ -192,8 +238,14 @@ def parse(data: bytes | None) -> dict:
         kind = (*found[:3], found[5])
         body = at + 4 + 2 * checked
         side = _side(version, word) if layer == 3 else 0
-        if checked and layer == 3:
-            same = frame_crc(data[at + 2 : at + 4] + data[body : body + side]) == int.from_bytes(data[at + 4 : at + 6], "big")
+        if checked:
+            if layer == 3:
+                crc = frame_crc(data[at + 2 : at + 4] + data[body : body + side])
+            else:
+                bits = protected_bits(data, body, version, layer, word)
+                covered = data[body : min(body + (bits + 7) // 8, at + size)]
+                crc = bits_crc(data[at + 2 : at + 4], covered, bits) if 8 * len(covered) >= bits else -1
+            same = crc == int.from_bytes(data[at + 4 : at + 6], "big")
             good += same
             bad += not same
         if first and (table := _vbr(data[at : at + size], body - at + side)):

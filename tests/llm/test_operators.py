@@ -57,6 +57,42 @@ def test_audio_round_trip(payload):
     assert found["duration_us"] == found["frames"] * 1152 * 1_000_000 // 32000
 
 
+LAYERS = [  # header, widths of the subbands' allocations, channels, subbands with an allocation for each channel
+    (0xFFFEA004, [4] * 32, 2, 32), (0xFFFEA0C4, [4] * 32, 1, 32), (0xFFFEA054, [4] * 32, 2, 8),
+    (0xFFFCA004, [4] * 11 + [3] * 12 + [2] * 7, 2, 30), (0xFFFCA404, [4] * 11 + [3] * 12 + [2] * 4, 2, 27), (0xFFFCA064, [4] * 11 + [3] * 12 + [2] * 7, 2, 12),
+    (0xFFFC10C4, [4] * 2 + [3] * 6, 1, 8), (0xFFFC18C4, [4] * 2 + [3] * 10, 1, 12), (0xFFF48004, [4] * 4 + [3] * 7 + [2] * 19, 2, 30),
+]
+
+
+@pytest.mark.parametrize(("head", "widths", "channels", "bound"), LAYERS)
+def test_audio_checksums_of_layers_one_and_two(head, widths, channels, bound):
+    rng = np.random.default_rng(head)
+    size, layer = audio.header(head)[4], audio.header(head)[1]
+    frames, ends = [], []
+    for _ in range(3):
+        bits, chosen = "", 0
+        for i, w in enumerate(widths):
+            for _ in range(channels if i < bound else 1):
+                value = int(rng.integers(0, 1 << w)) if rng.random() < 0.6 else 0
+                bits += format(value, f"0{w}b")
+                chosen += bool(value) * (1 if i < bound else channels)
+        bits += "".join(rng.choice(["0", "1"], 2 * chosen)) if layer == 2 else ""
+        crc = 0xFFFF
+        for bit in format(head & 0xFFFF, "016b") + bits:
+            crc, out = crc << 1 & 0xFFFF, crc >> 15 ^ int(bit)
+            crc ^= 0x8005 if out else 0
+        body = bits.ljust(8 * (size - 6), "1")
+        frames.append(head.to_bytes(4, "big") + crc.to_bytes(2, "big") + int(body, 2).to_bytes(size - 6, "big"))
+        ends.append(len(bits))
+    whole = b"".join(frames)
+    found = audio.parse(whole)
+    assert (found["frames"], found["crc_good"], found["crc_bad"], found["layer"]) == (3, 3, 0, layer)
+    for bit, bad in ((0, 1), (ends[1] - 1, 1), (ends[1], 0)):
+        hurt = bytearray(whole)
+        hurt[size + 6 + bit // 8] ^= 0x80 >> bit % 8
+        assert audio.parse(bytes(hurt))["crc_bad"] == bad
+
+
 def test_audio_resynchronises_and_checks():
     media = audio.carry(b"abc" * 4000)
     whole = audio.parse(media)
