@@ -38,13 +38,14 @@ def table_rows(text: Column) -> Column:
 def headed_blocks(text: Column, headings: Column) -> Column:
     """array<struct<kind, level, text>>: paragraphs that equal a known heading are headings one level below it (6 at most)."""
 
-    def block(p: Column) -> Column:
-        at = [F.when(F.array_contains(F.transform(F.element_at(headings, F.lit(f"h{k}")), U.strip), p), F.lit(k)) for k in range(1, 7)]
-        level = F.greatest(*at)  # of the levels that have this heading the deepest
+    known = F.array(*(F.transform(F.coalesce(F.element_at(headings, F.lit(f"h{k}")), F.array().cast("array<string>")), U.strip) for k in range(1, 7)))
+
+    def block(levels: Column, p: Column) -> Column:
+        level = F.greatest(*(F.when(F.array_contains(levels[k], p), F.lit(k + 1)) for k in range(6)))  # of the levels that have this heading the deepest
         heading = F.struct(F.lit("heading").alias("kind"), F.least(level + 1, F.lit(6)).alias("level"), F.substring(p, 1, SECTION).alias("text"))
         return F.when(level.isNotNull(), heading).otherwise(F.struct(F.lit("text").alias("kind"), F.lit(0).alias("level"), p.alias("text")))
 
-    return F.transform(paragraphs(text), block)
+    return U.let(known, lambda levels: F.transform(paragraphs(text), lambda p: block(levels, p)))
 
 
 def document_blocks(chunks: DataFrame, budget: int = BUDGET) -> DataFrame:
