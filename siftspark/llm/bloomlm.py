@@ -3,17 +3,23 @@
 Corpus statistics, over all training texts: exact counts of tokens (dealt by hash over shards), and
 of pairs of neighbouring tokens, dealt by the first. A pair, a token and the number of a token's different
 successors are items of the filter; an item of count c is put in with levels 1..1+floor(log_1.5 c),
-and a count is read back by probing levels until one is missing. Shards build blocks of the filter; its
-size follows the number of training tokens up to MAX_BITS (64 MB), and beyond that only its share of
-false positives grows. Scores are Witten-Bell: (c(ab) + t(a) p(b)) / (c(a) + t(a)), with
-p(b) = (c(b) + 1) / (N + V + 1), all counts but N and V by probes.
+and a count is read back by probing levels until one is missing. Each shard builds a block of the filter
+of at least LEVEL_BITS bits for each level it puts in, so the share of false positives (0.5% of probed
+triples at most) depends neither on the size of the corpus nor on how its tokens are dealt. Scores are
+Witten-Bell: (c(ab) + t(a) p(b)) / (c(a) + t(a)), with p(b) = (c(b) + 1) / (N + V + 1); c(ab), c(a) and
+t(a) by probes, c(b) as the level of its exact count.
+
+The filter grows with the corpus, so it is never gathered: the pairs of a text go to the blocks of
+their first tokens' shards, and the sums of their logarithms come back by text. Shards meet their pairs
+in sections of about SECTION_TOKENS training tokens; sections that hold more get copies of their blocks.
 
 The exact base score takes exact counts: those of the HEAD most frequent tokens of each shard are
-broadcast (HEADS tokens in all, 1 MB), other tokens of a text meet their counts in their shard.
+broadcast (HEADS tokens in all, 1 MB), other tokens of a text meet their counts in their shard first.
 
 Edge cases: null and empty texts are one end token. Rows that repeat an id are scored by themselves;
 a row with a null id is learnt from. With no training texts
-all counts are 0. Extra columns are not carried.
+all counts are 0. Extra columns are not carried. The documents are read more than once and their rows
+told apart by their places, so they must come in the same order each time, as stored tables do.
 """
 
 from __future__ import annotations
@@ -22,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,7 +38,8 @@ from . import common
 MOD, HELD_OUT = 7, 2
 MIN_SHARDS, MAX_SHARDS, SHARD_DOCUMENTS = 64, 4096, 4096
 HEADS = 65_536
-MIN_BITS, MAX_BITS, TOKEN_BITS = 1 << 20, 1 << 29, 6
+MIN_BITS, LEVEL_BITS = 1 << 10, 16
+SECTION_TOKENS, CELLS = 4_000_000, 128
 PROBES, BASE = 3, 1.5
 FLUSH = 3_000_000
 FIRST_BITS, SECOND_BITS = 22, 26
@@ -46,7 +54,7 @@ def _levels(counts: np.ndarray) -> np.ndarray:
 
 
 def _spot(items: np.ndarray, level: int, probe: int, bits: int) -> np.ndarray:
-    return common.mix64(items + np.uint64((level * 0x9E3779B97F4A7C15 + probe * 0xC2B2AE3D27D4EB4F) & 0xFFFFFFFFFFFFFFFF)) & np.uint64(bits - 1)
+    return common.mix64(items + np.uint64((level * 0x9E3779B97F4A7C15 + probe * 0xC2B2AE3D27D4EB4F) & 0xFFFFFFFFFFFFFFFF)) % np.uint64(bits)
 
 
 def block(items: np.ndarray, counts: np.ndarray, bits: int) -> np.ndarray:
@@ -153,9 +161,8 @@ def token_counts(train: DataFrame, shards: int) -> DataFrame:
     return dealt.groupBy("shard").applyInArrow(add, "shard int, distinct bigint, total bigint, keys binary, counts binary, head_keys binary, head_counts binary")
 
 
-def pair_filter(train: DataFrame, shards: int, total: int) -> Filter:
-    """The filter of all pairs, tokens and numbers of successors. At most MAX_BITS bits reach the driver."""
-    bits = max(MIN_BITS, min(MAX_BITS, 1 << (TOKEN_BITS * max(1, total)).bit_length())) // shards
+def pair_blocks(train: DataFrame, shards: int) -> DataFrame:
+    """Per shard the filter's block of its pairs, tokens and numbers of successors."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, n = [], 0
@@ -173,9 +180,7 @@ def pair_filter(train: DataFrame, shards: int, total: int) -> Filter:
 
         for batch in batches:
             for lo, hi, tokens, first in token_runs(batch.column(0)):
-                before = np.empty_like(tokens)
-                before[1:] = tokens[:-1]
-                before[first[:-1]] = _START
+                before = _before(tokens, first)
                 kept.append(_shard(before, shards) << np.uint64(FIRST_BITS + SECOND_BITS) | _pair_keys(before, tokens, shards))
                 n += len(tokens)
                 if n > FLUSH:
@@ -197,31 +202,47 @@ def pair_filter(train: DataFrame, shards: int, total: int) -> Filter:
         token = keys >> np.uint64(SECOND_BITS)
         at = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
         token, sums, types = token[at], np.add.reduceat(counts, at), np.diff(np.r_[at, len(keys)])
-        out = block(np.concatenate((keys ^ _PAIR, token ^ _TOKEN, token ^ _TYPES)), np.concatenate((counts, sums, types)), bits)
+        counts = np.concatenate((counts, sums, types))
+        bits = max(MIN_BITS, (LEVEL_BITS * int(_levels(counts).sum()) + 7) // 8 * 8)
+        out = block(np.concatenate((keys ^ _PAIR, token ^ _TOKEN, token ^ _TYPES)), counts, bits)
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([out.tobytes()], pa.binary())], names=["shard", "block"])
 
-    blocks = np.zeros(shards * bits // 8, np.uint8)
     dealt = train.select("text").mapInArrow(count, "shard int, keys binary, counts binary")
-    for row in dealt.groupBy("shard").applyInArrow(build, "shard int, block binary").toLocalIterator():
-        blocks[row["shard"] * bits // 8 : (row["shard"] + 1) * bits // 8] = np.frombuffer(row["block"], np.uint8)
-    return Filter(blocks, shards, bits)
-
-
-def log_probability(found: Filter, tokens: np.ndarray, first: np.ndarray, total: int, distinct: int) -> np.ndarray:
-    """log10 of the model's probability of each text of a run of tokens."""
-    before = np.empty_like(tokens)
-    before[1:] = tokens[:-1]
-    before[first[:-1]] = _START
-    shards = found.shards
-    names, place = np.unique(np.concatenate((before, tokens)), return_inverse=True)
-    short = (names << np.uint64(shards.bit_length() - 1)) >> np.uint64(64 - FIRST_BITS)
-    own, types = (found.counts(short ^ tag, _shard(names, shards)) for tag in (_TOKEN, _TYPES))
-    a, b = place[: len(tokens)], place[len(tokens) :]
-    unigram = (own[b] + 1) / (total + distinct + 1)
-    pair = found.counts(_pair_keys(before, tokens, shards) ^ _PAIR, _shard(before, shards))
+    return dealt.groupBy("shard").applyInArrow(build, "shard int, block binary")
+
+
+def _before(tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
+    out = np.empty_like(tokens)
+    out[1:] = tokens[:-1]
+    out[first[:-1]] = _START
+    return out
+
+
+def _groups(keys: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each key of 0..n-1 that occurs, with its places in their order."""
+    order = np.argsort(keys.astype(np.uint16), kind="stable")
+    ends = np.searchsorted(keys[order], np.arange(n + 1))
+    for k in np.flatnonzero(np.diff(ends)):
+        yield int(k), order[ends[k] : ends[k + 1]]
+
+
+def _sums(row: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The rows that occur, sorted, with the sums of their values."""
+    order = np.argsort(row, kind="stable")
+    row = row[order]
+    at = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+    return row[at], *(np.add.reduceat(v[order], at) for v in values)
+
+
+def log_probability(found: Filter, pairs: np.ndarray, levels: np.ndarray, total: int, distinct: int) -> np.ndarray:
+    """log10 of the model's probability of each pair (a key within the block's shard) whose second token's count has the level."""
+    names, a = np.unique(pairs >> np.uint64(SECOND_BITS), return_inverse=True)
+    own, types = (found.counts(names ^ tag, np.zeros(len(names), np.int64)) for tag in (_TOKEN, _TYPES))
+    unigram = (_LEVEL_COUNTS[levels] + 1) / (total + distinct + 1)
+    pair = found.counts(pairs ^ _PAIR, np.zeros(len(pairs), np.int64))
     more = np.maximum(1, types)[a]  # a token that is only there by a false positive has no successors
     p = np.where(own[a] > 0, (pair + more * unigram) / (own[a] + more), unigram)
-    return np.add.reduceat(np.log10(np.minimum(1, p)), first[:-1])
+    return np.log10(np.minimum(1, p))
 
 
 def scores(documents: DataFrame) -> DataFrame:
@@ -230,64 +251,116 @@ def scores(documents: DataFrame) -> DataFrame:
     held = F.coalesce(F.expr(f"pmod(crc32(cast(cast(doc_id as string) as binary)), {MOD}) = {HELD_OUT}"), F.lit(False))
     rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), held.alias("held_out"), "text")
     train = rows.where("not held_out")
-    shards = min(MAX_SHARDS, max(MIN_SHARDS, 1 << max(0, documents.count() // SHARD_DOCUMENTS - 1).bit_length()))
+    n_rows = documents.count()
+    shards = min(MAX_SHARDS, max(MIN_SHARDS, 1 << max(0, n_rows // SHARD_DOCUMENTS - 1).bit_length()))
     counts = common.store(token_counts(train, shards), "tokens")
-    total, distinct = (int(x or 0) for x in counts.agg(F.sum("total"), F.sum("distinct")).first())
+    sizes = counts.select("shard", "total", "distinct").collect()  # MAX_SHARDS rows at most
+    total, distinct = sum(r["total"] for r in sizes), sum(r["distinct"] for r in sizes)
     heads = counts.select("head_keys", "head_counts").collect()  # HEADS tokens at most
     keys, head = _merged([np.frombuffer(r[0], np.uint64) for r in heads], [np.frombuffer(r[1], np.int64) for r in heads])
-    shared = context.broadcast((keys, head))
-    found = context.broadcast(pair_filter(train, shards, total))
-    part_schema = "row bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, log_counts double, score double"
-    rest = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows of two kinds: whole texts with what the head gives, and packed tail tokens (row, hash, times) by shard."""
-        (known, times), model = shared.value, found.value
+    shared = context.broadcast((keys, head, _levels(np.maximum(1, head)).astype(np.uint8)))
+    # Sections are runs of shards; a section's copies follow the pairs it is to meet (each text has one that starts it).
+    sections = min(shards, max(16, 1 << (total // SECTION_TOKENS).bit_length()))
+    load = np.zeros(sections, np.int64)
+    for r in sizes:
+        load[r["shard"] * sections // shards] += r["total"]
+    load[int(_shard(np.array([_START]), shards)[0]) * sections // shards] += n_rows
+    copies = 1 + load // (2 * SECTION_TOKENS)
+    whole = "row bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, log_counts double, score double"
+    whole_types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+    cell = "section int, copy int, shard int, pairs binary, levels binary, rows binary, times binary"
+    cell_types = [pa.int32()] * 3 + [pa.binary()] * 4
+    names = [x.split()[0] for x in f"{cell}, {whole}".split(", ")]
+
+    def cells(found: list[tuple]) -> pa.RecordBatch:
+        """Rows of (copy's number, shard, keys of pairs, levels of second tokens, rows, exact counts or None)."""
+        out = []
+        for number, shard, pairs, levels, row, times in found:
+            section = shard * sections // shards
+            out.append((section, number % int(copies[section]), shard, pairs.view(np.uint8).reshape(-1, 8)[:, :6].tobytes(), levels.tobytes(), row.tobytes(), times))
+        columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), cell_types, strict=True)] if out else [pa.nulls(0, t) for t in cell_types]
+        return pa.RecordBatch.from_arrays(columns + [pa.nulls(len(out), t) for t in whole_types], names=names)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        """Per segment: its batch's columns, first and last row there, number of its first row, tokens, first of each text, place in the head, whether there."""
+        known = shared.value[0]
         index = TaskContext.get().partitionId() << 40
         for batch in batches:
             for lo, hi, tokens, first in token_runs(batch.column(2)):
-                row = np.repeat(np.arange(index, index + hi - lo), np.diff(first))
                 at = np.minimum(np.searchsorted(known, tokens), max(0, len(known) - 1))
-                in_head = known[at] == tokens if len(known) else np.zeros(len(tokens), bool)
-                logs = np.where(in_head, np.log10(times[at] + 1.0), 0.0) if len(known) else np.zeros(len(tokens))
-                whole = pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(index, index + hi - lo)), batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(np.diff(first)), pa.array(np.add.reduceat(in_head.astype(np.int64), first[:-1])), pa.array(np.add.reduceat(logs, first[:-1])), pa.array(log_probability(model, tokens, first, total, distinct))],
-                    names=[x.split()[0] for x in part_schema.split(", ")],
-                )
+                yield batch, lo, hi, index, tokens, first, at, known[at] == tokens if len(known) else np.zeros(len(tokens), bool)
                 index += hi - lo
-                tail = ~in_head
-                shard = _shard(tokens[tail], shards).astype(np.int64)
-                order = np.argsort(shard, kind="stable")
-                ends = np.searchsorted(shard[order], np.arange(shards + 1))
-                packed = [np.concatenate((tokens[tail][order[ends[s] : ends[s + 1]]], row[tail][order[ends[s] : ends[s + 1]]].view(np.uint64))).tobytes() if ends[s] < ends[s + 1] else None for s in range(shards)]
-                sent = [s for s in range(shards) if packed[s]]
-                n = whole.num_rows
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(lo, lo + n) % shards, pa.int32()), pa.nulls(n, pa.binary()), *whole.columns], names=["shard", "tail", *whole.schema.names])
-                if sent:
-                    yield pa.RecordBatch.from_arrays([pa.array(sent, pa.int32()), pa.array([packed[s] for s in sent], pa.binary()), *(pa.nulls(len(sent), t) for t in rest)], names=["shard", "tail", *whole.schema.names])
-
-    def meet(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        """The whole texts as they are, and for each text with tail tokens in the shard what their exact counts give."""
-        names = left.schema.names[2:]
-        own = left.filter(left.column("tail").is_null()).select(names)
-        tails = [np.frombuffer(x, np.uint64).reshape(2, -1) for x in left.column("tail").drop_null().to_pylist()]
-        if not tails or not right.num_rows:
-            return own
-        tokens, row = np.concatenate(tails, 1)
-        keys, counts = np.frombuffer(right.column("keys")[0].as_py(), np.uint64), np.frombuffer(right.column("counts")[0].as_py(), np.int64)
-        at = np.minimum(np.searchsorted(keys, tokens), len(keys) - 1)
-        hit = keys[at] == tokens
-        row, logs = row[hit].view(np.int64), np.log10(counts[at[hit]] + 1.0)
-        order = np.argsort(row, kind="stable")
-        row, logs = row[order], logs[order]
-        if not len(row):
-            return own
-        at = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-        sums = [pa.array(row[at]), pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.bool_()), pa.nulls(len(at), pa.int64()), pa.array(np.diff(np.r_[at, len(row)])), pa.array(np.add.reduceat(logs, at)), pa.nulls(len(at), pa.float64())]
-        return pa.concat_tables([own, pa.Table.from_arrays(sums, names=names)])
-
-    sent = rows.select("doc_id", "held_out", "text").mapInArrow(score, f"shard int, tail binary, {part_schema}")
-    parts = sent.groupBy("shard").cogroup(counts.select("shard", "keys", "counts").groupBy("shard")).applyInArrow(meet, part_schema)
-    one = parts.groupBy("row").agg(*(F.max(c).alias(c) for c in ("doc_id", "held_out", "n_tokens", "score")), F.sum("n_known").alias("n_known"), F.sum("log_counts").alias("log_counts"))
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Whole texts with what the head gives, and the pairs whose second token is in the head, by the first's shard."""
+        _, times, tops = shared.value
+        for number, (batch, lo, hi, index, tokens, first, at, in_head) in enumerate(read(batches)):
+            n = hi - lo
+            logs = np.where(in_head, np.log10(times[at] + 1.0), 0.0) if len(times) else np.zeros(len(tokens))
+            texts = [pa.array(np.arange(index, index + n)), batch.column(0).slice(lo, n), batch.column(1).slice(lo, n), pa.array(np.diff(first)), pa.array(np.add.reduceat(in_head.astype(np.int64), first[:-1])), pa.array(np.add.reduceat(logs, first[:-1])), pa.nulls(n, pa.float64())]
+            to = np.arange(index, index + n) % sections
+            yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array((index + np.arange(n)) // sections % copies[to], pa.int32()), *(pa.nulls(n, t) for t in cell_types[2:]), *texts], names=names)
+            row, before = np.repeat(np.arange(index, index + n), np.diff(first))[in_head], _before(tokens, first)[in_head]
+            pairs, levels = _pair_keys(before, tokens[in_head], shards), tops[at[in_head]] if len(tops) else np.zeros(0, np.uint8)
+            yield cells([(number, s, pairs[k], levels[k], row[k], None) for s, k in _groups(_shard(before, shards), shards)])
+
+    def send_tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The other second tokens by their own shard: packed (hash, row, first token's shard, key of the pair)."""
+        for _, _, _, index, tokens, first, _, in_head in read(batches):
+            row, before, second = np.repeat(np.arange(index, index + len(first) - 1), np.diff(first))[~in_head], _before(tokens, first)[~in_head], tokens[~in_head]
+            to = _shard(before, shards) << np.uint64(FIRST_BITS + SECOND_BITS) | _pair_keys(before, second, shards)
+            packed = [(s, np.stack((second[k], row[k].view(np.uint64), to[k])).tobytes()) for s, k in _groups(_shard(second, shards), shards)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in packed], pa.int32()), pa.array([x[1] for x in packed], pa.binary())], names=["shard", "tail"])
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        """Tail tokens with their exact counts, on their way to the shards of the tokens before them."""
+        tails = [np.frombuffer(x, np.uint64).reshape(3, -1) for x in left.column("tail").to_pylist()]
+        if not tails:
+            return pa.Table.from_batches([cells([])])
+        tokens, row, to = np.concatenate(tails, 1)
+        times = np.zeros(len(tokens), np.int64)
+        if right.num_rows:
+            keys, counts = np.frombuffer(right.column("keys")[0].as_py(), np.uint64), np.frombuffer(right.column("counts")[0].as_py(), np.int64)
+            at = np.minimum(np.searchsorted(keys, tokens), len(keys) - 1)
+            times = np.where(keys[at] == tokens, counts[at], 0)
+        levels = np.where(times > 0, _levels(np.maximum(1, times)), 0).astype(np.uint8)
+        place, number = to >> np.uint64(FIRST_BITS + SECOND_BITS), int(tokens[0] >> np.uint64(48))
+        # A share goes to the copies of its section in pieces.
+        pieces = [(i, s, piece) for s, k in _groups(place, shards) for i, piece in enumerate(np.array_split(k, min(len(k), int(copies[s * sections // shards]))))]
+        return pa.Table.from_batches([cells([(number + i, s, to[k], levels[k], row[k], times[k].tobytes()) for i, s, k in pieces])])
+
+    def probe(left: pa.Table, right: pa.Table) -> pa.Table:
+        """The whole texts as they are, and for each text with pairs in the section the sums of what they give."""
+        texts = left.filter(left.column("row").is_valid()).select(names[len(cell_types) :])
+        sent = left.filter(left.column("row").is_null())
+        blocks = dict(zip(right.column("shard").to_pylist(), right.column("block").to_pylist(), strict=True))
+        found = []
+        for shard in np.unique(sent.column("shard").to_numpy()).tolist():
+            mine = sent.filter(pc.equal(sent.column("shard"), shard))
+            raw = np.frombuffer(blocks[shard], np.uint8) if shard in blocks else np.zeros(1, np.uint8)
+            model = Filter(raw, 1, 8 * len(raw))
+            for lo in range(0, mine.num_rows, CELLS):
+                part = {c: mine.column(c).slice(lo, CELLS).to_pylist() for c in ("pairs", "levels", "rows", "times")}
+                levels, row = np.frombuffer(b"".join(part["levels"]), np.uint8), np.frombuffer(b"".join(part["rows"]), np.int64)
+                pairs = np.zeros((len(levels), 8), np.uint8)
+                pairs[:, :6] = np.frombuffer(b"".join(part["pairs"]), np.uint8).reshape(-1, 6)
+                logs = log_probability(model, pairs.view(np.uint64).ravel(), levels, total, distinct)
+                times = np.concatenate([np.frombuffer(t, np.int64) if t is not None else np.zeros(len(x), np.int64) for t, x in zip(part["times"], part["levels"], strict=True)])
+                found.append(_sums(row, logs, np.log10(times + 1.0), (times > 0).astype(np.int64)))
+        if not found:
+            return texts
+        row, logs, base, known = _sums(*(np.concatenate(x) for x in zip(*found, strict=True)))
+        n = len(row)
+        sums = [pa.array(row), pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_()), pa.nulls(n, pa.int64()), pa.array(known), pa.array(base), pa.array(logs)]
+        return pa.concat_tables([texts, pa.Table.from_arrays(sums, names=texts.schema.names)])
+
+    three = rows.select("doc_id", "held_out", "text")
+    tails = three.mapInArrow(send_tails, "shard int, tail binary").groupBy("shard").cogroup(counts.select("shard", "keys", "counts").groupBy("shard")).applyInArrow(meet, f"{cell}, {whole}")
+    sent = three.mapInArrow(send, f"{cell}, {whole}").union(tails)
+    copied = F.array(*(F.lit(int(x)) for x in copies))
+    blocks = common.store(pair_blocks(train, shards), "blocks").withColumn("section", F.floor(F.col("shard") * sections / shards).cast("int"))
+    blocks = blocks.withColumn("copy", F.explode(F.sequence(F.lit(0), F.get(copied, F.col("section")) - 1)))
+    parts = sent.groupBy("section", "copy").cogroup(blocks.groupBy("section", "copy")).applyInArrow(probe, whole)
+    one = parts.groupBy("row").agg(*(F.max(c).alias(c) for c in ("doc_id", "held_out", "n_tokens")), *(F.sum(c).alias(c) for c in ("n_known", "log_counts", "score")))
     base = F.col("log_counts") - F.col("n_tokens") * F.log10(F.lit(float(total + distinct + 1)))
     return one.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("bigint").alias("train_tokens"), base.alias("base_score"), "score")

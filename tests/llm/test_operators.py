@@ -3,6 +3,7 @@
 import hashlib
 import html
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -346,6 +347,34 @@ def test_language_model(spark, documents):
     assert all(r["train_tokens"] == n and -1e9 < r["score"] < 0 for r in got)
 
 
+def test_language_model_against_exact_counts(spark, monkeypatch):
+    """The filter grows with its items, whatever bound an earlier one had."""
+    monkeypatch.setattr(bloomlm, "MIN_BITS", 1 << 10)
+    monkeypatch.setattr(bloomlm, "MAX_BITS", 1 << 16, raising=False)
+    monkeypatch.setattr(bloomlm, "HEADS", 1 << 8)
+    monkeypatch.setattr(bloomlm, "SECTION_TOKENS", 2_000, raising=False)
+    rng = random.Random(3)
+    texts = [" ".join(f"w{int(rng.paretovariate(0.4)) % 5000}" for _ in range(rng.randrange(100, 300))) for _ in range(400)]
+    tokens = [["", *t.split(), "."] for t in texts]  # a start, which is no token, and an end
+    train = [zlib.crc32(str(i).encode()) % 7 != 2 for i in range(len(texts))]
+    learnt = [t for t, ok in zip(tokens, train, strict=True) if ok]
+    single, pairs = Counter(w for t in learnt for w in t[1:]), Counter(p for t in learnt for p in zip(t, t[1:]))
+    own, types = Counter(), Counter()
+    for (a, _), c in pairs.items():
+        own[a] += c
+        types[a] += 1
+    n, v = sum(single.values()), len(single)
+    level = lambda c: float(bloomlm._LEVEL_COUNTS[bloomlm._levels(np.array([c]))[0]]) if c else 0.0
+
+    def log(a, b):
+        p = (level(single[b]) + 1) / (n + v + 1)
+        return math.log10(min(1, (level(pairs[a, b]) + level(types[a]) * p) / (level(own[a]) + level(types[a])) if own[a] else p))
+
+    got = {r["doc_id"]: r["score"] for r in bloomlm.scores(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").cache()).collect()}
+    off = [abs(got[i] - sum(log(a, b) for a, b in zip(t, t[1:]))) / (len(t) - 1) for i, t in enumerate(tokens)]
+    assert len(got) == len(texts) and np.mean(off) < 0.02 and max(off) < 0.1
+
+
 def test_filter_counts():
     rng = np.random.default_rng(1)
     items, counts = rng.integers(0, 1 << 63, 3000, np.uint64), rng.integers(1, 5000, 3000)
