@@ -9,8 +9,9 @@ each other, and menus and adverts that differ from page to page would stay. Line
 footers, sidebars, notices, adverts, forms and comments never count as text. A page that shares all
 its lines with its pair is a copy, and keeps them.
 
-Partitioning: by host, and hosts above a share of all pages are split by path, so pairs stay within a
-split. One exchange carries the pages; a task holds three pages at a time.
+Partitioning: by host, and hosts above a share of all pages are split into ranges of (path, page_id). The
+first and the last page of a range are copied to its neighbours, so every page meets the pages next to it
+in its host, wherever the ranges are cut. One exchange carries the pages; a task holds three at a time.
 
 Edge cases: a null or empty page has an empty text; a page alone in its host has no pair; pages of
 one path are neighbours by page_id. Null ids and URLs are kept. Extra columns are not carried.
@@ -20,6 +21,8 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 from itertools import chain
 from os.path import commonprefix
@@ -30,7 +33,7 @@ from pyspark.sql import functions as F
 
 from . import urls
 
-LARGE_SHARE, LARGE_ROWS = 20_000, 500
+LARGE_SHARE, LARGE_ROWS, SAMPLES = 20_000, 500, 8
 MAX_BITS = 1 << 29
 
 # HTML's elements that break lines, that hold no text, and that end a paragraph's parent.
@@ -207,16 +210,58 @@ def main_text(page: list[tuple[str, str]], pair: list[tuple[str, str]] | None) -
     return "\n".join(kept), len(shared)
 
 
+def _key(path: str | None, page_id: int | None) -> tuple:
+    """Orders as Spark does: by bytes, nulls first."""
+    return path is not None, (path or "").encode(), page_id is not None, page_id or 0
+
+
+def _with_parts(df: DataFrame) -> DataFrame:
+    """df with part, the page's range of its host, and copy: whether the row is a copy for the part beside its own."""
+    session, keys = df.sparkSession, df.select("host", "path", "page_id")
+    large = max(LARGE_ROWS, df.count() // LARGE_SHARE)
+    hot = keys.groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") > large).select(F.col("host").alias("hot"))  # LARGE_SHARE rows at most
+    keys = keys.join(F.broadcast(hot), F.col("host").eqNullSafe(F.col("hot"))).drop("hot")
+    sampled, cuts = defaultdict(set), {}
+    for host, path, page_id in keys.where(F.pmod(F.xxhash64("path", "page_id"), F.lit(large)) < SAMPLES).collect():  # about SAMPLES a part
+        sampled[host].add(_key(path, page_id))
+    for host, found in sampled.items():
+        cuts[host] = sorted(found)[SAMPLES::SAMPLES]
+    if not any(cuts.values()):
+        return df.withColumn("part", F.lit(0)).withColumn("copy", F.lit(False))
+    shared = session.sparkContext.broadcast(cuts)
+
+    @F.udf("int", useArrow=True)
+    def part(host: str | None, path: str | None, page_id: int | None) -> int:
+        found = shared.value.get(host)
+        return bisect_right(found, _key(path, page_id)) if found else 0
+
+    ends, copies = defaultdict(list), defaultdict(list)
+    at = F.struct("path", "page_id")
+    for r in keys.groupBy("host", part("host", "path", "page_id").alias("part")).agg(F.min(at).alias("low"), F.max(at).alias("high")).collect():
+        ends[r["host"]].append((r["part"], _key(*r["low"]), _key(*r["high"])))
+    for host, found in ends.items():
+        found.sort()
+        for (one, _, high), (other, low, _) in zip(found, found[1:]):
+            copies[host, high].append(other)
+            copies[host, low].append(one)
+    edges = session.sparkContext.broadcast(dict(copies))
+
+    @F.udf("array<int>", useArrow=True)
+    def parts(host: str | None, path: str | None, page_id: int | None) -> list[int]:
+        found = shared.value.get(host)
+        if not found:
+            return [0]
+        key = _key(path, page_id)
+        return [bisect_right(found, key), *edges.value.get((host, key), ())]
+
+    placed = df.select("*", F.posexplode(parts("host", "path", "page_id")).alias("copy", "part"))
+    return placed.withColumn("copy", F.col("copy") > 0)
+
+
 def extracted(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars, pair_id and shared_lines of every row of pages."""
-    df = pages.select("page_id", "url", urls.host(F.col("url")).alias("host"), urls.path(F.col("url")).alias("path"), "html")
-    counts = df.groupBy("host").agg(F.count("*").alias("n"))
-    total = df.count()
-    large = max(LARGE_ROWS, total // LARGE_SHARE)
-    hot = counts.where(F.col("n") > large).select(F.col("host").alias("hot"), F.ceil(F.col("n") / large).alias("parts"))  # LARGE_SHARE rows at most
-    df = df.join(F.broadcast(hot), F.col("host") == F.col("hot"), "left")
-    df = df.withColumn("part", F.coalesce(F.pmod(F.xxhash64("path", "page_id"), "parts"), F.lit(0)))
-    df = df.select("page_id", "url", "host", "part", "path", "html").repartition("host", "part").sortWithinPartitions("host", "part", "path", "page_id")
+    df = _with_parts(pages.select("page_id", "url", urls.host(F.col("url")).alias("host"), urls.path(F.col("url")).alias("path"), "html"))
+    df = df.select("page_id", "url", "host", "part", "path", "copy", "html").repartition("host", "part").sortWithinPartitions("host", "part", "path", "page_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["page_id", "url", "text", "n_chars", "pair_id", "shared_lines"]
@@ -225,8 +270,8 @@ def extracted(pages: DataFrame) -> DataFrame:
         def read() -> Iterator[tuple]:
             for batch in batches:
                 for lo in range(0, batch.num_rows, 64):
-                    for page_id, url, host, part, path, page in zip(*(c.to_pylist() for c in batch.slice(lo, 64).columns), strict=True):
-                        yield page_id, url, (host, part), path, lines(page)
+                    for page_id, url, host, part, path, copy, page in zip(*(c.to_pylist() for c in batch.slice(lo, 64).columns), strict=True):
+                        yield page_id, url, (host, part), path, lines(page), copy
 
         def nearest(one: tuple, *others: tuple | None) -> tuple | None:
             same = [x for x in others if x and x[2] == one[2]]
@@ -239,7 +284,7 @@ def extracted(pages: DataFrame) -> DataFrame:
 
         out, size, before, one = [], 0, None, None
         for after in chain(read(), (None,)):
-            if one is not None:
+            if one is not None and not one[5]:
                 out.append(result(before, one, after))
                 size += len(out[-1][2])
                 if size > 4_000_000 or len(out) >= 2_000:

@@ -3,6 +3,7 @@
 import hashlib
 import html
 import math
+import os
 import random
 import re
 import zlib
@@ -151,6 +152,21 @@ def test_page_texts_of_the_tables(spark):
         assert got[page_id] == "\n".join(filter(None, (" ".join(html.unescape(re.sub(r"<[^>]+>", " ", x)).split()) for x in parts)))
 
 
+@pytest.mark.parametrize("limit", [7, 40])
+def test_pairs_of_a_large_host(spark, monkeypatch, limit):
+    monkeypatch.setattr(pagediff, "LARGE_ROWS", limit)
+    rng = random.Random(limit)
+    pages = [(i, f"http://{'small' if i % 10 == 0 else 'big'}.org/{rng.choice('abc')}/{rng.choice('deé')}{rng.randrange(30)}", f"<div>Menu</div><p>line {rng.randrange(3)}</p><p>own {i}</p>") for i in range(400)]
+    want = {}
+    for host in ("small", "big"):
+        own = sorted((p for p in pages if f"//{host}." in p[1]), key=lambda p: (p[1].encode(), p[0]))
+        for i, one in enumerate(own):
+            pair = max([own[j] for j in (i - 1, i + 1) if 0 <= j < len(own)], key=lambda p: len(os.path.commonprefix([p[1], one[1]])))
+            want[one[0]] = (pair[0], pagediff.main_text(pagediff.lines(one[2]), pagediff.lines(pair[2])))
+    got = pagediff.extracted(spark.createDataFrame(pages, "page_id bigint, url string, html string")).collect()
+    assert len(got) == len(pages) and {r["page_id"]: (r["pair_id"], (r["text"], r["shared_lines"])) for r in got} == want
+
+
 # ---- 3
 
 
