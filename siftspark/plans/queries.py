@@ -746,3 +746,10 @@ def host_corpus(s: SparkSession, d: str) -> DataFrame:
     """Pages to single-chunk documents to words and tokens a host."""
     df = _page_text(s, d).select(U.domain(F.col("url")).alias("host"), T.word_count(F.col("body")).cast("bigint").alias("n")).where("n between 20 and 600")
     return df.groupBy("host").agg(F.count("*").alias("chunks"), F.sum("n").alias("words"), F.sum(T.token_estimate(F.col("n")).cast("bigint")).alias("tokens"))
+
+
+@_query(_chunk_sql("text").replace("WITH RECURSIVE ", f"WITH RECURSIVE {_PAGE_TEXT}, {_PARTS}, documents AS (SELECT page_id AS doc_id, body AS text FROM t), ", 1) + f", h AS (SELECT lower(netloc) AS host, {_WORDS.format('content')} AS n FROM c JOIN u ON u.page_id = c.doc_id) SELECT host, count(*) AS chunks, sum(n)::BIGINT AS words, sum(n * 13 // 10)::BIGINT AS tokens FROM h GROUP BY host")
+def host_chunks(s: SparkSession, d: str) -> DataFrame:
+    """Pages of any length to chunks to words and tokens a host."""
+    df = chunking.chunks(_page_text(s, d).select(U.domain(F.col("url")).alias("host"), "body"), "body").select("host", T.word_count(F.col("content")).cast("bigint").alias("n"))
+    return df.groupBy("host").agg(F.count("*").alias("chunks"), F.sum("n").alias("words"), F.sum(T.token_estimate(F.col("n")).cast("bigint")).alias("tokens"))

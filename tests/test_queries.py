@@ -36,6 +36,14 @@ def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
 
+def test_entry_keeps_long_pages(spark):
+    pages = entry.plans._page_text(spark, DIR)
+    long = pages.where(entry.plans.T.word_count(F.col("body")) > 600).count()
+    chunks, words = entry.entry(spark).agg(F.sum("chunks"), F.sum("words")).first()
+    kept = pages.select(entry.plans.T.word_count(F.col("body")).alias("n")).where("n >= 20").agg(F.count("*"), F.sum("n")).first()
+    assert long > 0 and chunks > kept[0] and words >= kept[1]
+
+
 def test_the_rest_works_without_the_training_package():
     code = "import sys\nfor m in ('corpus_pipeline', 'siftspark.llm'): sys.modules[m] = None\nimport __spark_entry__ as e\nassert e.queries() and not [n for n in e.queries() if n.startswith('op')]"
     subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(__file__).parent.parent)
