@@ -1,20 +1,23 @@
 """Language-model scores from a log-frequency Bloom filter.
 
-Corpus statistics, over all training texts: exact counts of tokens (dealt by hash over shards), and
-of pairs of neighbouring tokens, dealt by the first. A pair, a token and the number of a token's different
-successors are items of the filter; an item of count c is put in with levels 1..1+floor(log_1.5 c),
-and a count is read back by probing levels until one is missing. Each shard builds a block of the filter
-of at least LEVEL_BITS bits for each level it puts in, so the share of false positives (0.5% of probed
-triples at most) depends neither on the size of the corpus nor on how its tokens are dealt. Scores are
-Witten-Bell: (c(ab) + t(a) p(b)) / (c(a) + t(a)), with p(b) = (c(b) + 1) / (N + V + 1); c(ab), c(a) and
-t(a) by probes, c(b) as the level of its exact count.
-
-The filter grows with the corpus, so it is never gathered: the pairs of a text go to the blocks of
-their first tokens' shards, and the sums of their logarithms come back by text. Shards meet their pairs
-in sections of about SECTION_TOKENS training tokens; sections that hold more get copies of their blocks.
-
-The exact base score takes exact counts: those of the HEAD most frequent tokens of each shard are
-broadcast (HEADS tokens in all, 1 MB), other tokens of a text meet their counts in their shard first.
+The model, over all training texts: exact counts of tokens (dealt by hash over shards), and of runs of two
+and three tokens. Runs are kept from MIN_COUNT occurrences on: what one text alone says would score that
+text by itself. A run, the number of times its context (all but its last token) was followed by a kept run, and
+the number of different tokens that followed it are items of the filter; an item of count c is put in with levels
+1..1+floor(log_1.5 c), and a count is read back by probing levels until one is missing. Blocks of the filter
+have LEVEL_BITS bits for each level they hold, so the share of false positives (0.7% of probes of a
+level) depends neither on the size of the corpus nor on how its tokens are dealt. Scores are Witten-Bell, interpolated
+from the token up: p1(c) = (n(c) + 1) / (N + V + 1); p2(c|b) = (n(bc) + t(b) p1) / (n(b) + t(b)), and
+p3(c|ab) from p2 alike; a context without kept runs leaves the shorter one's probability.
+
+The filter grows with the corpus, so it is never gathered or sent to all workers: texts' runs go to the blocks of
+their middle tokens' sections, which hold all that a token needs, and the sums of their logarithms come back by text.
+A section whose tokens are more than 2 * SECTION_TOKENS training tokens is split by the token before the
+middle one: a cell has the runs of three of its own contexts, and a copy of the section's block of pairs. Equal
+runs of a text travel once.
+
+The exact base score takes exact counts: those of the HEADS / shards most frequent tokens of each shard are
+broadcast (HEADS tokens in all, 5 MB), other tokens of a text meet their counts in their shard first.
 
 Edge cases: null and empty texts are one end token. Rows that repeat an id are scored by themselves;
 a row with a null id is learnt from. With no training texts
@@ -25,10 +28,10 @@ told apart by their places, so they must come in the same order each time, as st
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,15 +39,17 @@ from pyspark.sql import functions as F
 from . import common
 
 MOD, HELD_OUT = 7, 2
+MIN_COUNT = 2
 MIN_SHARDS, MAX_SHARDS, SHARD_DOCUMENTS = 64, 4096, 4096
-HEADS = 65_536
-MIN_BITS, LEVEL_BITS = 1 << 10, 16
-SECTION_TOKENS, CELLS = 4_000_000, 128
-PROBES, BASE = 3, 1.5
-FLUSH = 3_000_000
-FIRST_BITS, SECOND_BITS = 22, 26
+HEADS = 1 << 18
+MIN_BITS, LEVEL_BITS, PROBES, BASE = 1 << 10, 12, 4, 1.5
+SECTION_TOKENS, CHUNK = 4_000_000, 1 << 19
+FLUSH, MERGE = 3_000_000, 2_000_000
+FIRST_BITS, SECOND_BITS = 24, 24
+KEY_BITS = FIRST_BITS + SECOND_BITS
+_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _END, _START = np.uint64(0xE4D0FE4D0FE4D0F1), np.uint64(0x57A2757A2757A275)
-_PAIR, _TOKEN, _TYPES = (np.uint64(x) for x in (0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179, 0x9B05688C2B3E6C1F))
+_RUN, _FOLLOWED, _TYPES = (np.uint64(x) for x in (0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179, 0x9B05688C2B3E6C1F))
 _LEVEL_COUNTS = np.concatenate(([0.0], BASE ** (np.arange(0, 64) + 0.5)))
 _LEVEL_COUNTS[1:3] = 1, 2
 
@@ -53,54 +58,79 @@ def _levels(counts: np.ndarray) -> np.ndarray:
     return 1 + np.floor(np.log(counts) / np.log(BASE) + 1e-9).astype(np.int64)
 
 
-def _spot(items: np.ndarray, level: int, probe: int, bits: int) -> np.ndarray:
-    return common.mix64(items + np.uint64((level * 0x9E3779B97F4A7C15 + probe * 0xC2B2AE3D27D4EB4F) & 0xFFFFFFFFFFFFFFFF)) % np.uint64(bits)
+def _spots(items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First spot and step of each item, before they are scaled to a block's size."""
+    mixed = common.mix64(items)
+    return mixed, (mixed << np.uint64(32) | mixed >> np.uint64(32)) | np.uint64(1)
 
 
-def block(items: np.ndarray, counts: np.ndarray, bits: int) -> np.ndarray:
-    """The bits of a block that holds the items with their counts."""
+def _spot(first: np.ndarray, step: np.ndarray, number: int, bits: int) -> np.ndarray:
+    return ((first + step * np.uint64(number)) >> np.uint64(32)) * np.uint64(bits) >> np.uint64(32)
+
+
+def block(items: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The bits, as bytes, of a block that holds the items with their counts."""
+    top = _levels(counts) if len(counts) else np.zeros(0, np.int64)
+    bits = max(MIN_BITS, (LEVEL_BITS * int(top.sum()) + 7) // 8 * 8)
     out = np.zeros(bits, bool)
-    top = _levels(counts)
+    first, step = _spots(items)
     level = 1
-    while len(items):
+    while len(first):
         for probe in range(PROBES):
-            out[_spot(items, level, probe, bits).astype(np.int64)] = True
+            out[_spot(first, step, level * PROBES + probe, bits).astype(np.int64)] = True
         level += 1
         more = top >= level
-        items, top = items[more], top[more]
+        first, step, top = first[more], step[more], top[more]
     return np.packbits(out, bitorder="little")
 
 
 class Filter:
-    """The blocks side by side; `counts` probes them."""
+    """A block of the filter; `counts` probes it."""
 
-    def __init__(self, blocks: np.ndarray, shards: int, bits: int) -> None:
-        self.blocks, self.shards, self.bits = blocks, shards, bits
+    def __init__(self, raw: bytes | None) -> None:
+        self.block = np.frombuffer(raw, np.uint8) if raw else np.zeros(1, np.uint8)
 
-    def counts(self, items: np.ndarray, shard: np.ndarray) -> np.ndarray:
+    def counts(self, items: np.ndarray) -> np.ndarray:
         """The count of each item as far as its levels are found; never below the stored one's level."""
         found = np.zeros(len(items), np.int64)
-        active, base, level = np.arange(len(items)), shard.astype(np.int64) * (self.bits // 8), 1
+        active, level, bits = np.arange(len(items)), 1, 8 * len(self.block)
+        first, step = _spots(items)
         while len(active) and level < 64:
             for probe in range(PROBES):
-                at = _spot(items[active], level, probe, self.bits).astype(np.int64)
-                active = active[(self.blocks[base[active] + (at >> 3)] >> (at & 7).astype(np.uint8) & 1).astype(bool)]
+                at = _spot(first, step, level * PROBES + probe, bits).astype(np.int64)
+                hit = (self.block[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+                active, first, step = active[hit], first[hit], step[hit]
             found[active] = level
             level += 1
         return _LEVEL_COUNTS[found]
 
+    def contexts(self, names: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(times followed, types, which of them each name is) of named contexts. One type is not stored."""
+        names, which = np.unique(names, return_inverse=True)
+        followed = self.counts(names ^ _FOLLOWED)
+        some = np.flatnonzero(followed > 1)
+        types = np.ones(len(names))
+        types[some] = np.maximum(1, self.counts(names[some] ^ _TYPES))
+        return followed, types, which
 
-def _shard(hashes: np.ndarray, shards: int) -> np.ndarray:
-    return hashes >> np.uint64(64 - (shards.bit_length() - 1))
 
+def _high(hashes: np.ndarray, n: int) -> np.ndarray:
+    """Which of n (a power of two) equal parts of the hashes each is in."""
+    return hashes >> np.uint64(64 - (n.bit_length() - 1)) if n > 1 else np.zeros(len(hashes), np.uint64)
 
-def _pair_keys(first: np.ndarray, second: np.ndarray, shards: int) -> np.ndarray:
-    """Of each pair 22 bits of the first token (below those of its shard) and 26 of both."""
-    low = (first << np.uint64(shards.bit_length() - 1)) >> np.uint64(64 - FIRST_BITS)
-    both = common.mix64(first * np.uint64(0x9E3779B97F4A7C15) + second) >> np.uint64(64 - SECOND_BITS)
+
+def _key(first: np.ndarray, second: np.ndarray, sections: int) -> np.ndarray:
+    """48 bits of a pair: 24 of the first token (below those of its section), 24 of both."""
+    low = (first << np.uint64(sections.bit_length() - 1)) >> np.uint64(64 - FIRST_BITS)
+    both = common.mix64(first * _MULTIPLIER + second) >> np.uint64(64 - SECOND_BITS)
     return low << np.uint64(SECOND_BITS) | both
 
 
+def _triple(keys: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """A name of a run of three or, without the key's lower half, of its context."""
+    return common.mix64(keys * _MULTIPLIER + before.astype(np.uint64))
+
+
 def token_runs(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Per segment of texts: (first, end, hashes of all tokens with an end after each text, per text its first token)."""
     for lo, hi, words, first in common.hashed(column):
@@ -108,22 +138,77 @@ def token_runs(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndar
         yield lo, hi, tokens, first + np.arange(hi - lo + 1)
 
 
-def _dealt(keys: np.ndarray, counts: np.ndarray, shard: np.ndarray, shards: int, pack) -> Iterator[pa.RecordBatch]:
-    order = np.argsort(shard, kind="stable")
-    ends = np.searchsorted(shard[order], np.arange(shards + 1))
-    full = [s for s in range(shards) if ends[s] < ends[s + 1]]
-    rows = [pack(keys[order[ends[s] : ends[s + 1]]], counts[order[ends[s] : ends[s + 1]]]) for s in full]
-    yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], names=["shard", "keys", "counts"])
+def _behind(tokens: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The token before each, and 32 bits of the one before that (0 where there is none: a start stands before a text once)."""
+    one, two = np.empty_like(tokens), np.zeros(len(tokens), np.uint32)
+    one[1:] = tokens[:-1]
+    one[first[:-1]] = _START
+    two[1:] = one[:-1] >> np.uint64(32) | np.uint64(1)
+    two[first[:-1]] = 0
+    return one, two
 
 
-def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    if not keys:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    keys, counts = np.concatenate(keys), np.concatenate(counts)
+def _groups(keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each key that occurs, with its places in their order."""
     order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order].astype(np.int64)
-    at = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
-    return keys[at], np.add.reduceat(counts, at) if len(at) else counts
+    ends = np.flatnonzero(np.r_[True, keys[order][1:] != keys[order][:-1], True]) if len(keys) else np.zeros(1, int)
+    for a, b in zip(ends[:-1], ends[1:], strict=True):
+        yield int(keys[order[a]]), order[a:b]
+
+
+def _sums(row: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The rows that occur, sorted, with the sums of their values."""
+    order = np.argsort(row, kind="stable")
+    row = row[order]
+    at = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else np.zeros(0, np.int64)
+    return row[at], *(np.add.reduceat(v[order], at) if len(at) else v for v in values)
+
+
+def _six(keys: np.ndarray) -> bytes:
+    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _from_six(raw: bytes) -> np.ndarray:
+    wide = np.zeros((len(raw) // 6, 8), np.uint8)
+    wide[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return wide.view("<u8").ravel()
+
+
+def _above(counts: np.ndarray) -> tuple[np.ndarray, bytes]:
+    """An order with the ones first, and all other counts in it."""
+    order = np.argsort(counts > 1, kind="stable")
+    return order, counts[order][counts[order] > 1].astype(np.uint32).tobytes()
+
+
+def _counted(n: int, raw: bytes) -> np.ndarray:
+    above = np.frombuffer(raw, np.uint32)
+    return np.concatenate((np.ones(n - len(above), np.int64), above.astype(np.int64)))
+
+
+class _Tally:
+    """Counts of named items, with a column that goes with each; merged whenever MERGE rows wait."""
+
+    def __init__(self) -> None:
+        self.rows: list[tuple[np.ndarray, ...]] = []
+        self.waiting = 0
+
+    def add(self, names: np.ndarray, counts: np.ndarray, *columns: np.ndarray) -> None:
+        self.rows.append((names, counts, *columns))
+        self.waiting += len(names)
+        if self.waiting > MERGE:
+            self.merged()
+
+    def merged(self) -> tuple[np.ndarray, ...]:
+        """(names, counts, columns), sorted by name."""
+        if len(self.rows) > 1:
+            names, counts, *columns = (np.concatenate(x) for x in zip(*self.rows, strict=True))
+            order = np.argsort(names, kind="stable")
+            names = names[order]
+            at = np.flatnonzero(np.r_[True, names[1:] != names[:-1]]) if len(names) else np.zeros(0, np.int64)
+            counts = np.add.reduceat(counts[order], at) if len(at) else counts
+            self.rows = [(names[at], counts, *(c[order[at]] for c in columns))]
+        self.waiting = 0
+        return self.rows[0] if self.rows else ()
 
 
 def token_counts(train: DataFrame, shards: int) -> DataFrame:
@@ -131,28 +216,28 @@ def token_counts(train: DataFrame, shards: int) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, n = [], 0
-        pack = lambda k, c: (k.tobytes(), c.astype(np.uint32).tobytes())
 
-        def flush() -> Iterator[pa.RecordBatch]:
+        def flush() -> pa.RecordBatch:
             keys, counts = np.unique(np.concatenate(kept), return_counts=True)
-            yield from _dealt(keys, counts, _shard(keys, shards), shards, pack)
+            rows = [(s, keys[k].tobytes(), counts[k].astype(np.uint32).tobytes()) for s, k in _groups(_high(keys, shards))]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["shard", "keys", "counts"])
 
         for batch in batches:
             for _, _, tokens, _ in token_runs(batch.column(0)):
                 kept.append(tokens)
                 n += len(tokens)
                 if n > FLUSH:
-                    yield from flush()
+                    yield flush()
                     kept, n = [], 0
         if kept:
-            yield from flush()
+            yield flush()
 
     def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts = [], []
+        tally = _Tally()
         for batch in batches:
-            keys += [np.frombuffer(x, np.uint64) for x in batch.column("keys").to_pylist()]
-            counts += [np.frombuffer(x, np.uint32) for x in batch.column("counts").to_pylist()]
-        keys, counts = _merged(keys, counts)
+            for k, c in zip(batch.column("keys"), batch.column("counts"), strict=True):
+                tally.add(np.frombuffer(k.as_py(), np.uint64), np.frombuffer(c.as_py(), np.uint32).astype(np.int64))
+        keys, counts = tally.merged()
         most = np.sort(np.lexsort((keys, -counts))[: HEADS // shards])
         cells = [key[0].as_py(), len(keys), int(counts.sum()), keys.tobytes(), counts.tobytes(), keys[most].tobytes(), counts[most].tobytes()]
         yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(cells, (pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 4), strict=True)], names=["shard", "distinct", "total", "keys", "counts", "head_keys", "head_counts"])
@@ -161,128 +246,177 @@ def token_counts(train: DataFrame, shards: int) -> DataFrame:
     return dealt.groupBy("shard").applyInArrow(add, "shard int, distinct bigint, total bigint, keys binary, counts binary, head_keys binary, head_counts binary")
 
 
-def pair_blocks(train: DataFrame, shards: int) -> DataFrame:
-    """Per shard the filter's block of its pairs, tokens and numbers of successors."""
+@dataclass
+class Model:
+    """What is learnt: tables of exact token counts and of the filter's blocks, and numbers of a bounded size."""
+
+    counts: DataFrame
+    blocks: DataFrame
+    heads: tuple[np.ndarray, np.ndarray]
+    total: int
+    distinct: int
+    shards: int
+    copies: np.ndarray  # cells of each section
+
+
+def log_probability(pairs: Filter, triples: Filter, keys: np.ndarray, before: np.ndarray, levels: np.ndarray, total: int, distinct: int) -> np.ndarray:
+    """log10 of the probability of each run's last token, whose own count has the level, after the others."""
+    p = (_LEVEL_COUNTS[levels] + 1) / (total + distinct + 1)
+    names, which = np.unique(keys, return_inverse=True)
+    followed, types, of = pairs.contexts(names >> np.uint64(SECOND_BITS))
+    run = np.where(followed[of] > 0, pairs.counts(names ^ _RUN), 0)[which]
+    followed, types = followed[of][which], types[of][which]
+    p = np.where(followed > 0, np.minimum(1, (run + types * p) / (followed + types)), p)
+    three = np.flatnonzero(before)
+    followed, types, of = triples.contexts(_triple(keys[three] >> np.uint64(SECOND_BITS), before[three]))
+    known = np.flatnonzero(followed[of] > 0)
+    three, followed, types = three[known], followed[of][known], types[of][known]
+    run = triples.counts(_triple(keys[three], before[three]) ^ _RUN)
+    p[three] = np.minimum(1, (run + types * p[three]) / (followed + types))
+    return np.log10(p)
+
+
+def fit(train: DataFrame, rows: int) -> Model:
+    """The model of the column text of train, a table of at most `rows` rows."""
+    shards = min(MAX_SHARDS, max(MIN_SHARDS, 1 << max(0, rows // SHARD_DOCUMENTS - 1).bit_length()))
+    counts = common.store(token_counts(train, shards), "tokens")
+    found = counts.select("shard", "total", "distinct", "head_keys", "head_counts").collect()  # MAX_SHARDS rows, HEADS tokens at most
+    total, distinct = sum(r["total"] for r in found), sum(r["distinct"] for r in found)
+    heads = _Tally()
+    for r in found:
+        heads.add(np.frombuffer(r["head_keys"], np.uint64), np.frombuffer(r["head_counts"], np.int64))
+    sections = min(shards, max(16, 1 << (total // SECTION_TOKENS).bit_length()))
+    load = np.zeros(sections, np.int64)
+    for r in found:
+        load[r["shard"] * sections // shards] += r["total"]
+    load[int(_high(np.array([_START]), sections)[0])] += rows
+    model = Model(counts, counts, heads.merged() or (np.zeros(0, np.uint64), np.zeros(0, np.int64)), total, distinct, shards, np.minimum(65_535, 1 + load // (2 * SECTION_TOKENS)))
+    model.blocks = common.store(_blocks(train, model), "blocks")
+    return model
+
+
+def _blocks(train: DataFrame, model: Model) -> DataFrame:
+    """(section, copy, order, block) of each cell: its section's pairs and its own runs of three."""
+    copies = model.copies
+    sections = len(copies)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, n = [], 0
-        low = np.uint64((1 << (FIRST_BITS + SECOND_BITS)) - 1)
 
-        def pack(keys: np.ndarray, counts: np.ndarray) -> tuple[bytes, bytes]:
-            # Six bytes a pair, those that were seen once first; only the others have a count.
-            order = np.argsort(counts > 1, kind="stable")
-            return (keys[order] & low).view(np.uint8).reshape(-1, 8)[:, :6].tobytes(), counts[order][counts[order] > 1].astype(np.uint32).tobytes()
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            # With at most 16 bits of shard beside it, a key is unique in 64 bits.
-            keys, counts = np.unique(np.concatenate(kept), return_counts=True)
-            yield from _dealt(keys, counts, keys >> np.uint64(FIRST_BITS + SECOND_BITS), shards, pack)
+        def flush() -> pa.RecordBatch:
+            section, key, before, deal = (np.concatenate(x) for x in zip(*kept, strict=True))
+            out = []
+            # Runs of three, and the pairs of sections that are split, by the second token.
+            split = np.flatnonzero(copies[section] > 1)
+            for order, at in ((3, np.arange(len(key))), (2, split)):
+                wide = section[at].astype(np.uint64) << np.uint64(KEY_BITS) | key[at]
+                _, one, times = np.unique(_triple(wide, before[at]) if order == 3 else wide, return_index=True, return_counts=True)
+                one = at[one]
+                cell = section[one].astype(np.int64) << 16 | (np.where(before[one] > 0, before[one], deal[one]) if order == 3 else deal[one]) % copies[section[one]]
+                for k, i in _groups(cell):
+                    ordered, above = _above(times[i])
+                    i = one[i[ordered]]
+                    out.append((k >> 16, k & 0xFFFF, order, _six(key[i]), before[i].tobytes() if order == 3 else b"", above))
+            types = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["section", "copy", "order", "keys", "before", "counts"])
 
         for batch in batches:
-            for lo, hi, tokens, first in token_runs(batch.column(0)):
-                before = _before(tokens, first)
-                kept.append(_shard(before, shards) << np.uint64(FIRST_BITS + SECOND_BITS) | _pair_keys(before, tokens, shards))
+            for _, _, tokens, first in token_runs(batch.column(0)):
+                one, two = _behind(tokens, first)
+                kept.append((_high(one, sections).astype(np.int32), _key(one, tokens, sections), two, (tokens >> np.uint64(32)).astype(np.uint32)))
                 n += len(tokens)
                 if n > FLUSH:
-                    yield from flush()
+                    yield flush()
                     kept, n = [], 0
         if kept:
-            yield from flush()
+            yield flush()
 
-    def build(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts = [], []
+    def merge(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The block of the kept runs of three, and the kept pairs."""
+        section, copy = key[0].as_py(), key[1].as_py()
+        triples, pairs = _Tally(), _Tally()
         for batch in batches:
-            for raw, more in zip(batch.column("keys").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                wide = np.zeros((len(raw) // 6, 8), np.uint8)
-                wide[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-                above = np.frombuffer(more, np.uint32)
-                keys.append(wide.view(np.uint64).ravel())
-                counts.append(np.concatenate((np.ones(len(wide) - len(above), np.uint32), above)))
-        keys, counts = _merged(keys, counts)
-        token = keys >> np.uint64(SECOND_BITS)
-        at = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
-        token, sums, types = token[at], np.add.reduceat(counts, at), np.diff(np.r_[at, len(keys)])
-        counts = np.concatenate((counts, sums, types))
-        bits = max(MIN_BITS, (LEVEL_BITS * int(_levels(counts).sum()) + 7) // 8 * 8)
-        out = block(np.concatenate((keys ^ _PAIR, token ^ _TOKEN, token ^ _TYPES)), counts, bits)
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([out.tobytes()], pa.binary())], names=["shard", "block"])
-
-    dealt = train.select("text").mapInArrow(count, "shard int, keys binary, counts binary")
-    return dealt.groupBy("shard").applyInArrow(build, "shard int, block binary")
-
-
-def _before(tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
-    out = np.empty_like(tokens)
-    out[1:] = tokens[:-1]
-    out[first[:-1]] = _START
-    return out
-
-
-def _groups(keys: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Each key of 0..n-1 that occurs, with its places in their order."""
-    order = np.argsort(keys.astype(np.uint16), kind="stable")
-    ends = np.searchsorted(keys[order], np.arange(n + 1))
-    for k in np.flatnonzero(np.diff(ends)):
-        yield int(k), order[ends[k] : ends[k + 1]]
-
-
-def _sums(row: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
-    """The rows that occur, sorted, with the sums of their values."""
-    order = np.argsort(row, kind="stable")
-    row = row[order]
-    at = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-    return row[at], *(np.add.reduceat(v[order], at) for v in values)
-
+            for order, raw, two, above in zip(*(batch.column(c).to_pylist() for c in ("order", "keys", "before", "counts")), strict=True):
+                keys = _from_six(raw)
+                times = _counted(len(keys), above)
+                if order == 3:
+                    before = np.frombuffer(two, np.uint32)
+                    triples.add(_triple(keys, before), times, keys, before)
+                else:
+                    pairs.add(keys, times)
+        if copies[section] == 1:
+            _, times, keys, _ = triples.merged()
+            pairs.add(*_sums(keys, times))
+        out = []
+        if pairs.rows:
+            names, times = pairs.merged()
+            kept = times >= MIN_COUNT
+            out.append((section, copy, 2, names[kept].tobytes(), times[kept].tobytes()))
+        if triples.rows:
+            names, times, keys, before = triples.merged()
+            kept = (times >= MIN_COUNT) & (before > 0)
+            context, followed, types = _sums(_triple(keys[kept] >> np.uint64(SECOND_BITS), before[kept]), times[kept], np.ones(int(kept.sum()), np.int64))
+            many = types > 1
+            raw = block(np.concatenate((names[kept] ^ _RUN, context ^ _FOLLOWED, context[many] ^ _TYPES)), np.concatenate((times[kept], followed, types[many])))
+            out.append((section, copy, 3, raw.tobytes(), b""))
+        types = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["section", "copy", "order", "data", "counts"])
 
-def log_probability(found: Filter, pairs: np.ndarray, levels: np.ndarray, total: int, distinct: int) -> np.ndarray:
-    """log10 of the model's probability of each pair (a key within the block's shard) whose second token's count has the level."""
-    names, a = np.unique(pairs >> np.uint64(SECOND_BITS), return_inverse=True)
-    own, types = (found.counts(names ^ tag, np.zeros(len(names), np.int64)) for tag in (_TOKEN, _TYPES))
-    unigram = (_LEVEL_COUNTS[levels] + 1) / (total + distinct + 1)
-    pair = found.counts(pairs ^ _PAIR, np.zeros(len(pairs), np.int64))
-    more = np.maximum(1, types)[a]  # a token that is only there by a false positive has no successors
-    p = np.where(own[a] > 0, (pair + more * unigram) / (own[a] + more), unigram)
-    return np.log10(np.minimum(1, p))
+    def build(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The block of a section's pairs; each pair comes from one cell."""
+        tally = _Tally()
+        for batch in batches:
+            for raw, times in zip(batch.column("data"), batch.column("counts"), strict=True):
+                tally.add(np.frombuffer(raw.as_py(), np.uint64), np.frombuffer(times.as_py(), np.int64))
+        keys, times = tally.merged()
+        context, followed, types = _sums(keys >> np.uint64(SECOND_BITS), times, np.ones(len(keys), np.int64))
+        many = types > 1
+        raw = block(np.concatenate((keys ^ _RUN, context ^ _FOLLOWED, context[many] ^ _TYPES)), np.concatenate((times, followed, types[many])))
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([raw.tobytes()], pa.binary())], names=["section", "block"])
+
+    dealt = train.select("text").mapInArrow(count, "section int, copy int, order int, keys binary, before binary, counts binary")
+    merged = common.store(dealt.groupBy("section", "copy").applyInArrow(merge, "section int, copy int, order int, data binary, counts binary"), "runs")
+    pairs = merged.where("order = 2").groupBy("section").applyInArrow(build, "section int, block binary")
+    cells = F.explode(F.sequence(F.lit(0), F.get(F.array(*(F.lit(int(x)) for x in copies)), F.col("section")) - 1))
+    pairs = pairs.select("section", cells.alias("copy"), F.lit(2).alias("order"), "block")
+    return pairs.union(merged.where("order = 3").select("section", "copy", "order", F.col("data").alias("block")))
 
 
 def scores(documents: DataFrame) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of documents."""
-    context = documents.sparkSession.sparkContext
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of documents, learnt from those not held out."""
     held = F.coalesce(F.expr(f"pmod(crc32(cast(cast(doc_id as string) as binary)), {MOD}) = {HELD_OUT}"), F.lit(False))
     rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), held.alias("held_out"), "text")
-    train = rows.where("not held_out")
-    n_rows = documents.count()
-    shards = min(MAX_SHARDS, max(MIN_SHARDS, 1 << max(0, n_rows // SHARD_DOCUMENTS - 1).bit_length()))
-    counts = common.store(token_counts(train, shards), "tokens")
-    sizes = counts.select("shard", "total", "distinct").collect()  # MAX_SHARDS rows at most
-    total, distinct = sum(r["total"] for r in sizes), sum(r["distinct"] for r in sizes)
-    heads = counts.select("head_keys", "head_counts").collect()  # HEADS tokens at most
-    keys, head = _merged([np.frombuffer(r[0], np.uint64) for r in heads], [np.frombuffer(r[1], np.int64) for r in heads])
-    shared = context.broadcast((keys, head, _levels(np.maximum(1, head)).astype(np.uint8)))
-    # Sections are runs of shards; a section's copies follow the pairs it is to meet (each text has one that starts it).
-    sections = min(shards, max(16, 1 << (total // SECTION_TOKENS).bit_length()))
-    load = np.zeros(sections, np.int64)
-    for r in sizes:
-        load[r["shard"] * sections // shards] += r["total"]
-    load[int(_shard(np.array([_START]), shards)[0]) * sections // shards] += n_rows
-    copies = 1 + load // (2 * SECTION_TOKENS)
+    return score(rows, fit(rows.where("not held_out"), documents.count()))
+
+
+def score(rows: DataFrame, model: Model) -> DataFrame:
+    """The model's scores of rows (doc_id, held_out, text)."""
+    context = rows.sparkSession.sparkContext
+    counts, blocks, shards, copies = model.counts, model.blocks, model.shards, model.copies
+    sections = len(copies)
+    known, times = model.heads
+    shared = context.broadcast((known, times, _levels(np.maximum(1, times)).astype(np.uint8)))
     whole = "row bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, log_counts double, score double"
     whole_types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-    cell = "section int, copy int, shard int, pairs binary, levels binary, rows binary, times binary"
-    cell_types = [pa.int32()] * 3 + [pa.binary()] * 4
+    cell = "section int, copy int, keys binary, before binary, levels binary, times binary, rows binary, spans binary, exact binary"
+    cell_types = [pa.int32()] * 2 + [pa.binary()] * 7
     names = [x.split()[0] for x in f"{cell}, {whole}".split(", ")]
+    total, distinct = model.total, model.distinct
 
-    def cells(found: list[tuple]) -> pa.RecordBatch:
-        """Rows of (copy's number, shard, keys of pairs, levels of second tokens, rows, exact counts or None)."""
-        out = []
-        for number, shard, pairs, levels, row, times in found:
-            section = shard * sections // shards
-            out.append((section, number % int(copies[section]), shard, pairs.view(np.uint8).reshape(-1, 8)[:, :6].tobytes(), levels.tobytes(), row.tobytes(), times))
+    def runs(row: np.ndarray) -> tuple[bytes, bytes]:
+        at = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+        return row[at].tobytes(), np.diff(np.r_[at, len(row)]).astype(np.uint32).tobytes()
+
+    def few(counts: np.ndarray) -> bytes:
+        return counts.astype(np.uint32).tobytes() if len(counts) and counts.max() > 1 else b""
+
+    def cells(to: np.ndarray, keys: np.ndarray, before: np.ndarray, levels: np.ndarray, times: np.ndarray, row: np.ndarray, exact: np.ndarray | None = None) -> pa.RecordBatch:
+        out = [(t >> 16, t & 0xFFFF, _six(keys[k]), before[k].tobytes(), levels[k].tobytes(), few(times[k]), *runs(row[k]), exact[k].tobytes() if exact is not None else None) for t, k in _groups(to)]
         columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), cell_types, strict=True)] if out else [pa.nulls(0, t) for t in cell_types]
         return pa.RecordBatch.from_arrays(columns + [pa.nulls(len(out), t) for t in whole_types], names=names)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        """Per segment: its batch's columns, first and last row there, number of its first row, tokens, first of each text, place in the head, whether there."""
+        """Per segment: its batch, first and last row there, number of its first row, tokens, first of each text, place in the head, whether there."""
         known = shared.value[0]
         index = TaskContext.get().partitionId() << 40
         for batch in batches:
@@ -291,62 +425,82 @@ def scores(documents: DataFrame) -> DataFrame:
                 yield batch, lo, hi, index, tokens, first, at, known[at] == tokens if len(known) else np.zeros(len(tokens), bool)
                 index += hi - lo
 
+    def distinct_runs(index: int, tokens: np.ndarray, first: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Of the chosen tokens' runs, each text's different ones: (place of one, cell, key, before, times, row)."""
+        one, two = _behind(tokens, first)
+        text = np.repeat(np.arange(len(first) - 1), np.diff(first))
+        chosen = np.flatnonzero(chosen)
+        key, two, text = _key(one[chosen], tokens[chosen], sections), two[chosen], text[chosen]
+        section = _high(one[chosen], sections).astype(np.int64)
+        _, at, times = np.unique(_triple(_triple(key ^ section.astype(np.uint64) << np.uint64(KEY_BITS), two), text), return_index=True, return_counts=True)
+        order = np.argsort(at)
+        at, times = at[order], times[order]
+        deal = np.where(two > 0, two, (tokens[chosen] >> np.uint64(32)).astype(np.uint32))[at]
+        return chosen[at], section[at] << 16 | deal % copies[section[at]], key[at], two[at], times, index + text[at]
+
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Whole texts with what the head gives, and the pairs whose second token is in the head, by the first's shard."""
+        """Whole texts with what the head gives, and the runs whose last token is in the head, by the cell of the others."""
         _, times, tops = shared.value
-        for number, (batch, lo, hi, index, tokens, first, at, in_head) in enumerate(read(batches)):
+        for batch, lo, hi, index, tokens, first, at, in_head in read(batches):
             n = hi - lo
             logs = np.where(in_head, np.log10(times[at] + 1.0), 0.0) if len(times) else np.zeros(len(tokens))
             texts = [pa.array(np.arange(index, index + n)), batch.column(0).slice(lo, n), batch.column(1).slice(lo, n), pa.array(np.diff(first)), pa.array(np.add.reduceat(in_head.astype(np.int64), first[:-1])), pa.array(np.add.reduceat(logs, first[:-1])), pa.nulls(n, pa.float64())]
             to = np.arange(index, index + n) % sections
             yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array((index + np.arange(n)) // sections % copies[to], pa.int32()), *(pa.nulls(n, t) for t in cell_types[2:]), *texts], names=names)
-            row, before = np.repeat(np.arange(index, index + n), np.diff(first))[in_head], _before(tokens, first)[in_head]
-            pairs, levels = _pair_keys(before, tokens[in_head], shards), tops[at[in_head]] if len(tops) else np.zeros(0, np.uint8)
-            yield cells([(number, s, pairs[k], levels[k], row[k], None) for s, k in _groups(_shard(before, shards), shards)])
+            place, to, key, two, often, row = distinct_runs(index, tokens, first, in_head)
+            yield cells(to, key, two, tops[at[place]] if len(tops) else np.zeros(0, np.uint8), often, row)
 
     def send_tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The other second tokens by their own shard: packed (hash, row, first token's shard, key of the pair)."""
+        """The runs whose last token is not in the head, by that token's shard."""
+        fields = ["shard", "tokens", "cells", "keys", "before", "times", "rows", "spans"]
         for _, _, _, index, tokens, first, _, in_head in read(batches):
-            row, before, second = np.repeat(np.arange(index, index + len(first) - 1), np.diff(first))[~in_head], _before(tokens, first)[~in_head], tokens[~in_head]
-            to = _shard(before, shards) << np.uint64(FIRST_BITS + SECOND_BITS) | _pair_keys(before, second, shards)
-            packed = [(s, np.stack((second[k], row[k].view(np.uint64), to[k])).tobytes()) for s, k in _groups(_shard(second, shards), shards)]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in packed], pa.int32()), pa.array([x[1] for x in packed], pa.binary())], names=["shard", "tail"])
+            place, to, key, two, often, row = distinct_runs(index, tokens, first, ~in_head)
+            out = [(s, tokens[place[k]].tobytes(), to[k].astype(np.uint32).tobytes(), _six(key[k]), two[k].tobytes(), few(often[k]), *runs(row[k])) for s, k in _groups(_high(tokens[place], shards))]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.binary() if i else pa.int32()) for i in range(len(fields))], names=fields)
+
+    def unpacked(part: dict[str, list]) -> tuple[np.ndarray, ...]:
+        """(keys, before, times, rows, spans) of packs."""
+        spans = [np.frombuffer(x, np.uint32) for x in part["spans"]]
+        often = [np.frombuffer(t, np.uint32) if t else np.ones(int(s.sum()), np.uint32) for t, s in zip(part["times"], spans, strict=True)]
+        return _from_six(b"".join(part["keys"])), np.frombuffer(b"".join(part["before"]), np.uint32), np.concatenate(often), np.frombuffer(b"".join(part["rows"]), np.int64), np.concatenate(spans).astype(np.int64)
+
+    def chunks(table: pa.Table) -> Iterator[dict[str, list]]:
+        """Packs of about CHUNK runs together."""
+        part, n = [], 0
+        for i in range(table.num_rows):
+            part.append(i)
+            n += len(table.column("before")[i].as_py()) // 4
+            if n >= CHUNK or i == table.num_rows - 1:
+                yield {c: table.column(c).slice(part[0], len(part)).to_pylist() for c in table.column_names}
+                part, n = [], 0
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        """Tail tokens with their exact counts, on their way to the shards of the tokens before them."""
-        tails = [np.frombuffer(x, np.uint64).reshape(3, -1) for x in left.column("tail").to_pylist()]
-        if not tails:
-            return pa.Table.from_batches([cells([])])
-        tokens, row, to = np.concatenate(tails, 1)
-        times = np.zeros(len(tokens), np.int64)
-        if right.num_rows:
-            keys, counts = np.frombuffer(right.column("keys")[0].as_py(), np.uint64), np.frombuffer(right.column("counts")[0].as_py(), np.int64)
-            at = np.minimum(np.searchsorted(keys, tokens), len(keys) - 1)
-            times = np.where(keys[at] == tokens, counts[at], 0)
-        levels = np.where(times > 0, _levels(np.maximum(1, times)), 0).astype(np.uint8)
-        place, number = to >> np.uint64(FIRST_BITS + SECOND_BITS), int(tokens[0] >> np.uint64(48))
-        # A share goes to the copies of its section in pieces.
-        pieces = [(i, s, piece) for s, k in _groups(place, shards) for i, piece in enumerate(np.array_split(k, min(len(k), int(copies[s * sections // shards]))))]
-        return pa.Table.from_batches([cells([(number + i, s, to[k], levels[k], row[k], times[k].tobytes()) for i, s, k in pieces])])
+        """Tail tokens with their exact counts, on their way to the cells of the tokens before them."""
+        out = [cells(np.zeros(0, np.int64), *[np.zeros(0, np.uint64)] * 5)]
+        counted = [np.frombuffer(right.column(c)[0].as_py(), t) for c, t in (("keys", np.uint64), ("counts", np.int64))] if right.num_rows else None
+        for part in chunks(left):
+            key, two, often, rows, spans = unpacked(part)
+            tokens, to = np.frombuffer(b"".join(part["tokens"]), np.uint64), np.frombuffer(b"".join(part["cells"]), np.uint32).astype(np.int64)
+            exact = np.zeros(len(tokens), np.int64)
+            if counted:
+                at = np.minimum(np.searchsorted(counted[0], tokens), len(counted[0]) - 1)
+                exact = np.where(counted[0][at] == tokens, counted[1][at], 0)
+            levels = np.where(exact > 0, _levels(np.maximum(1, exact)), 0).astype(np.uint8)
+            out.append(cells(to, key, two, levels, often, np.repeat(rows, spans), exact))
+        return pa.Table.from_batches(out)
 
     def probe(left: pa.Table, right: pa.Table) -> pa.Table:
-        """The whole texts as they are, and for each text with pairs in the section the sums of what they give."""
+        """The whole texts as they are, and for each text with runs in the cell the sums of what they give."""
         texts = left.filter(left.column("row").is_valid()).select(names[len(cell_types) :])
-        sent = left.filter(left.column("row").is_null())
-        blocks = dict(zip(right.column("shard").to_pylist(), right.column("block").to_pylist(), strict=True))
+        pairs, triples = (Filter(next((b for o, b in zip(right.column("order").to_pylist(), right.column("block").to_pylist(), strict=True) if o == k), None)) for k in (2, 3))
         found = []
-        for shard in np.unique(sent.column("shard").to_numpy()).tolist():
-            mine = sent.filter(pc.equal(sent.column("shard"), shard))
-            raw = np.frombuffer(blocks[shard], np.uint8) if shard in blocks else np.zeros(1, np.uint8)
-            model = Filter(raw, 1, 8 * len(raw))
-            for lo in range(0, mine.num_rows, CELLS):
-                part = {c: mine.column(c).slice(lo, CELLS).to_pylist() for c in ("pairs", "levels", "rows", "times")}
-                levels, row = np.frombuffer(b"".join(part["levels"]), np.uint8), np.frombuffer(b"".join(part["rows"]), np.int64)
-                pairs = np.zeros((len(levels), 8), np.uint8)
-                pairs[:, :6] = np.frombuffer(b"".join(part["pairs"]), np.uint8).reshape(-1, 6)
-                logs = log_probability(model, pairs.view(np.uint64).ravel(), levels, total, distinct)
-                times = np.concatenate([np.frombuffer(t, np.int64) if t is not None else np.zeros(len(x), np.int64) for t, x in zip(part["times"], part["levels"], strict=True)])
-                found.append(_sums(row, logs, np.log10(times + 1.0), (times > 0).astype(np.int64)))
+        for part in chunks(left.select(names[2 : len(cell_types)]).filter(left.column("row").is_null())):
+            key, two, often, rows, spans = unpacked(part)
+            levels = np.frombuffer(b"".join(part["levels"]), np.uint8)
+            logs = log_probability(pairs, triples, key, two, levels, total, distinct) * often
+            exact = np.concatenate([np.frombuffer(x, np.int64) if x is not None else np.zeros(len(y), np.int64) for x, y in zip(part["exact"], part["levels"], strict=True)])
+            at = np.cumsum(spans) - spans
+            found.append(_sums(rows, *(np.add.reduceat(v, at) for v in (logs, often * np.log10(exact + 1.0), np.where(exact > 0, often, 0).astype(np.int64)))))
         if not found:
             return texts
         row, logs, base, known = _sums(*(np.concatenate(x) for x in zip(*found, strict=True)))
@@ -355,11 +509,8 @@ def scores(documents: DataFrame) -> DataFrame:
         return pa.concat_tables([texts, pa.Table.from_arrays(sums, names=texts.schema.names)])
 
     three = rows.select("doc_id", "held_out", "text")
-    tails = three.mapInArrow(send_tails, "shard int, tail binary").groupBy("shard").cogroup(counts.select("shard", "keys", "counts").groupBy("shard")).applyInArrow(meet, f"{cell}, {whole}")
+    tails = three.mapInArrow(send_tails, "shard int, tokens binary, cells binary, keys binary, before binary, times binary, rows binary, spans binary").groupBy("shard").cogroup(counts.select("shard", "keys", "counts").groupBy("shard")).applyInArrow(meet, f"{cell}, {whole}")
     sent = three.mapInArrow(send, f"{cell}, {whole}").union(tails)
-    copied = F.array(*(F.lit(int(x)) for x in copies))
-    blocks = common.store(pair_blocks(train, shards), "blocks").withColumn("section", F.floor(F.col("shard") * sections / shards).cast("int"))
-    blocks = blocks.withColumn("copy", F.explode(F.sequence(F.lit(0), F.get(copied, F.col("section")) - 1)))
     parts = sent.groupBy("section", "copy").cogroup(blocks.groupBy("section", "copy")).applyInArrow(probe, whole)
     one = parts.groupBy("row").agg(*(F.max(c).alias(c) for c in ("doc_id", "held_out", "n_tokens")), *(F.sum(c).alias(c) for c in ("n_known", "log_counts", "score")))
     base = F.col("log_counts") - F.col("n_tokens") * F.log10(F.lit(float(total + distinct + 1)))
