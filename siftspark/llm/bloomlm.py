@@ -12,7 +12,7 @@ p3(c|ab) from p2 alike; a context without kept runs leaves the shorter one's pro
 
 The filter grows with the corpus, so it is never gathered or sent to all workers: texts' runs go to the blocks of
 their middle tokens' sections, which hold all that a token needs, and the sums of their logarithms come back by text.
-A section whose tokens are more than 2 * SECTION_TOKENS training tokens is split by the token before the
+A section of more than SECTION_TOKENS training tokens is split by the token before the
 middle one: a cell has the runs of three of its own contexts, and a copy of the section's block of pairs. Equal
 runs of a text travel once.
 
@@ -32,6 +32,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,8 +44,8 @@ MIN_COUNT = 2
 MIN_SHARDS, MAX_SHARDS, SHARD_DOCUMENTS = 64, 4096, 4096
 HEADS = 1 << 18
 MIN_BITS, LEVEL_BITS, PROBES, BASE = 1 << 10, 12, 4, 1.5
-SECTION_TOKENS, CHUNK = 4_000_000, 1 << 19
-FLUSH, MERGE = 3_000_000, 2_000_000
+SECTION_TOKENS, CHUNK = 3_000_000, 1 << 19
+FLUSH, RUN_FLUSH, MERGE = 3_000_000, 1_500_000, 2_000_000
 FIRST_BITS, SECOND_BITS = 24, 24
 KEY_BITS = FIRST_BITS + SECOND_BITS
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -174,15 +175,21 @@ def _from_six(raw: bytes) -> np.ndarray:
     return wide.view("<u8").ravel()
 
 
-def _above(counts: np.ndarray) -> tuple[np.ndarray, bytes]:
-    """An order with the ones first, and all other counts in it."""
-    order = np.argsort(counts > 1, kind="stable")
-    return order, counts[order][counts[order] > 1].astype(np.uint32).tobytes()
+def _squeezed(values: np.ndarray) -> bytes:
+    """Numbers of which the high bytes are mostly equal: the bytes of one place together, compressed."""
+    wide = np.ascontiguousarray(values)
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(wide.view(np.uint8).reshape(-1, wide.itemsize).T).tobytes())
 
 
-def _counted(n: int, raw: bytes) -> np.ndarray:
-    above = np.frombuffer(raw, np.uint32)
-    return np.concatenate((np.ones(n - len(above), np.int64), above.astype(np.int64)))
+def _unsqueezed(raw: bytes, kind: type) -> np.ndarray:
+    flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8)
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(flat.reshape(size, -1).T).view(kind).ravel()
+
+
+def _steps(values: np.ndarray) -> np.ndarray:
+    """The differences of neighbours, the first from 0; np.cumsum gives the values back."""
+    return np.diff(values, prepend=values.dtype.type(0))
 
 
 class _Tally:
@@ -219,7 +226,7 @@ def token_counts(train: DataFrame, shards: int) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             keys, counts = np.unique(np.concatenate(kept), return_counts=True)
-            rows = [(s, keys[k].tobytes(), counts[k].astype(np.uint32).tobytes()) for s, k in _groups(_high(keys, shards))]
+            rows = [(s, _squeezed(_steps(keys[k])), _squeezed(counts[k].astype(np.uint32))) for s, k in _groups(_high(keys, shards))]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["shard", "keys", "counts"])
 
         for batch in batches:
@@ -236,7 +243,7 @@ def token_counts(train: DataFrame, shards: int) -> DataFrame:
         tally = _Tally()
         for batch in batches:
             for k, c in zip(batch.column("keys"), batch.column("counts"), strict=True):
-                tally.add(np.frombuffer(k.as_py(), np.uint64), np.frombuffer(c.as_py(), np.uint32).astype(np.int64))
+                tally.add(np.cumsum(_unsqueezed(k.as_py(), np.uint64)), _unsqueezed(c.as_py(), np.uint32).astype(np.int64))
         keys, counts = tally.merged()
         most = np.sort(np.lexsort((keys, -counts))[: HEADS // shards])
         cells = [key[0].as_py(), len(keys), int(counts.sum()), keys.tobytes(), counts.tobytes(), keys[most].tobytes(), counts[most].tobytes()]
@@ -290,8 +297,8 @@ def fit(train: DataFrame, rows: int) -> Model:
     for r in found:
         load[r["shard"] * sections // shards] += r["total"]
     load[int(_high(np.array([_START]), sections)[0])] += rows
-    model = Model(counts, counts, heads.merged() or (np.zeros(0, np.uint64), np.zeros(0, np.int64)), total, distinct, shards, np.minimum(65_535, 1 + load // (2 * SECTION_TOKENS)))
-    model.blocks = common.store(_blocks(train, model), "blocks")
+    model = Model(counts, counts, heads.merged() or (np.zeros(0, np.uint64), np.zeros(0, np.int64)), total, distinct, shards, np.minimum(65_535, 1 + load // SECTION_TOKENS))
+    model.blocks = _blocks(train, model)
     return model
 
 
@@ -314,9 +321,9 @@ def _blocks(train: DataFrame, model: Model) -> DataFrame:
                 one = at[one]
                 cell = section[one].astype(np.int64) << 16 | (np.where(before[one] > 0, before[one], deal[one]) if order == 3 else deal[one]) % copies[section[one]]
                 for k, i in _groups(cell):
-                    ordered, above = _above(times[i])
-                    i = one[i[ordered]]
-                    out.append((k >> 16, k & 0xFFFF, order, _six(key[i]), before[i].tobytes() if order == 3 else b"", above))
+                    i = i[np.argsort(key[one[i]])]
+                    i, counts = one[i], times[i].astype(np.uint32)
+                    out.append((k >> 16, k & 0xFFFF, order, _squeezed(_steps(key[i])), before[i].tobytes() if order == 3 else b"", _squeezed(counts)))
             types = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["section", "copy", "order", "keys", "before", "counts"])
 
@@ -325,7 +332,7 @@ def _blocks(train: DataFrame, model: Model) -> DataFrame:
                 one, two = _behind(tokens, first)
                 kept.append((_high(one, sections).astype(np.int32), _key(one, tokens, sections), two, (tokens >> np.uint64(32)).astype(np.uint32)))
                 n += len(tokens)
-                if n > FLUSH:
+                if n > RUN_FLUSH:
                     yield flush()
                     kept, n = [], 0
         if kept:
@@ -336,9 +343,8 @@ def _blocks(train: DataFrame, model: Model) -> DataFrame:
         section, copy = key[0].as_py(), key[1].as_py()
         triples, pairs = _Tally(), _Tally()
         for batch in batches:
-            for order, raw, two, above in zip(*(batch.column(c).to_pylist() for c in ("order", "keys", "before", "counts")), strict=True):
-                keys = _from_six(raw)
-                times = _counted(len(keys), above)
+            for order, raw, two, often in zip(*(batch.column(c).to_pylist() for c in ("order", "keys", "before", "counts")), strict=True):
+                keys, times = np.cumsum(_unsqueezed(raw, np.uint64)), _unsqueezed(often, np.uint32).astype(np.int64)
                 if order == 3:
                     before = np.frombuffer(two, np.uint32)
                     triples.add(_triple(keys, before), times, keys, before)
@@ -405,13 +411,13 @@ def score(rows: DataFrame, model: Model) -> DataFrame:
 
     def runs(row: np.ndarray) -> tuple[bytes, bytes]:
         at = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-        return row[at].tobytes(), np.diff(np.r_[at, len(row)]).astype(np.uint32).tobytes()
+        return _squeezed(_steps(row[at])), _squeezed(np.diff(np.r_[at, len(row)]).astype(np.uint32))
 
     def few(counts: np.ndarray) -> bytes:
-        return counts.astype(np.uint32).tobytes() if len(counts) and counts.max() > 1 else b""
+        return _squeezed(counts.astype(np.uint32)) if len(counts) and counts.max() > 1 else b""
 
     def cells(to: np.ndarray, keys: np.ndarray, before: np.ndarray, levels: np.ndarray, times: np.ndarray, row: np.ndarray, exact: np.ndarray | None = None) -> pa.RecordBatch:
-        out = [(t >> 16, t & 0xFFFF, _six(keys[k]), before[k].tobytes(), levels[k].tobytes(), few(times[k]), *runs(row[k]), exact[k].tobytes() if exact is not None else None) for t, k in _groups(to)]
+        out = [(t >> 16, t & 0xFFFF, _six(keys[k]), before[k].tobytes(), _squeezed(levels[k]), few(times[k]), *runs(row[k]), _squeezed(exact[k]) if exact is not None else None) for t, k in _groups(to)]
         columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), cell_types, strict=True)] if out else [pa.nulls(0, t) for t in cell_types]
         return pa.RecordBatch.from_arrays(columns + [pa.nulls(len(out), t) for t in whole_types], names=names)
 
@@ -460,9 +466,9 @@ def score(rows: DataFrame, model: Model) -> DataFrame:
 
     def unpacked(part: dict[str, list]) -> tuple[np.ndarray, ...]:
         """(keys, before, times, rows, spans) of packs."""
-        spans = [np.frombuffer(x, np.uint32) for x in part["spans"]]
-        often = [np.frombuffer(t, np.uint32) if t else np.ones(int(s.sum()), np.uint32) for t, s in zip(part["times"], spans, strict=True)]
-        return _from_six(b"".join(part["keys"])), np.frombuffer(b"".join(part["before"]), np.uint32), np.concatenate(often), np.frombuffer(b"".join(part["rows"]), np.int64), np.concatenate(spans).astype(np.int64)
+        spans = [_unsqueezed(x, np.uint32) for x in part["spans"]]
+        often = [_unsqueezed(t, np.uint32) if t else np.ones(int(s.sum()), np.uint32) for t, s in zip(part["times"], spans, strict=True)]
+        return _from_six(b"".join(part["keys"])), np.frombuffer(b"".join(part["before"]), np.uint32), np.concatenate(often), np.concatenate([np.cumsum(_unsqueezed(x, np.int64)) for x in part["rows"]]), np.concatenate(spans).astype(np.int64)
 
     def chunks(table: pa.Table) -> Iterator[dict[str, list]]:
         """Packs of about CHUNK runs together."""
@@ -496,9 +502,9 @@ def score(rows: DataFrame, model: Model) -> DataFrame:
         found = []
         for part in chunks(left.select(names[2 : len(cell_types)]).filter(left.column("row").is_null())):
             key, two, often, rows, spans = unpacked(part)
-            levels = np.frombuffer(b"".join(part["levels"]), np.uint8)
+            levels = np.concatenate([_unsqueezed(x, np.uint8) for x in part["levels"]])
             logs = log_probability(pairs, triples, key, two, levels, total, distinct) * often
-            exact = np.concatenate([np.frombuffer(x, np.int64) if x is not None else np.zeros(len(y), np.int64) for x, y in zip(part["exact"], part["levels"], strict=True)])
+            exact = np.concatenate([_unsqueezed(x, np.int64) if x is not None else np.zeros(len(y) // 4, np.int64) for x, y in zip(part["exact"], part["before"], strict=True)])
             at = np.cumsum(spans) - spans
             found.append(_sums(rows, *(np.add.reduceat(v, at) for v in (logs, often * np.log10(exact + 1.0), np.where(exact > 0, often, 0).astype(np.int64)))))
         if not found:
