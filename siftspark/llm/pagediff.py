@@ -1,20 +1,28 @@
 """Main text of HTML pages by nearest-URL page differencing.
 
 Pages are sorted by URL path within each host, and each is paired with the neighbour whose path
-shares the longest start with its own. The two pages' text lines (one a block) are aligned by a
-longest common subsequence, and a page loses the lines that it shares with its pair: those are the
-site's, not the page's. Where the markup names the article (`article`, `main` and the like) its
-lines stay, shared or not, and lines outside it go: copies of an article under two URLs would delete
-each other, and menus and adverts that differ from page to page would stay. Lines in menus, headers,
-footers, sidebars, notices, adverts, forms and comments never count as text. A page that shares all
-its lines with its pair is a copy, and keeps them.
+shares the longest start with its own. What both pages have is the site's and goes; the rest is the page's:
+
+1. The two pages' text lines (one a block) are aligned by a longest common subsequence, and shared lines go.
+   Lines inside the article that the markup names (`article`, or else `main` and the like) are protected: copies of
+   an article under two URLs would delete each other.
+2. Menus, adverts and footers often differ from page to page, so their places are compared too: a line that is not
+   protected goes if it stands in a slot of the site (HTML's elements for navigation, footers, forms and so on, an
+   element with a name like `ad` or `cookie-notice`, or outside the named article) that its pair has as well. A slot with
+   such a name goes inside an article too, but only if the pair has it.
+3. Where there is no such evidence (no pair, or one without the slot), markup breaks the tie: HTML's own elements
+   and lines outside the named article go, and slots with such a name only if there is no pair at all.
+
+A page without a named article that shares all its lines with its pair is a copy, and keeps them.
 
 Partitioning: by host, and hosts above a share of all pages are split into ranges of (path, page_id). The
 first and the last page of a range are copied to its neighbours, so every page meets the pages next to it
 in its host, wherever the ranges are cut. One exchange carries the pages; a task holds three at a time.
+Reading a page takes time in proportion to its length, whatever is left open in it.
 
 Edge cases: a null or empty page has an empty text; a page alone in its host has no pair; pages of
-one path are neighbours by page_id. Null ids and URLs are kept. Extra columns are not carried.
+one path are neighbours by page_id. Null ids and URLs are kept. A quote that is never closed ends with its
+tag. An empty table gives no rows. Extra columns are not carried.
 """
 
 from __future__ import annotations
@@ -26,6 +34,7 @@ from collections import defaultdict
 from collections.abc import Iterator
 from itertools import chain
 from os.path import commonprefix
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -44,96 +53,143 @@ JUNK = frozenset("nav header footer aside form menu button select object canvas
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 JUNK_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar status".split())
 MAIN_IDS = frozenset("article-body articlebody article-content post-content post-body entry-content story-body main-content".split())
-#: Whole words of class and id names, alone or joined by hyphens.
-_NAMES = "ads?|adverts?|advertisements?|adsense|sponsor(?:ed|s)?|promos?|promotions?|banners?|nav|navbar|navigation|menus?|breadcrumbs?|sidebars?|footer|masthead|topbar|cookies?|consent|gdpr|notices?|popups?|modal|overlay|newsletter|subscribe|subscription|share|sharing|social|related|recommended|recommendations|comments?|commentlist|respond|disqus|repl(?:y|ies)|widgets?|toolbar|pagination|pager|skip|login|signup|copyright|disclaimer|paywall"
-_JUNK_NAME = re.compile(rf"(?:(?!(?:no|has|with|without|is|not)[-_])[a-z0-9]+[-_]+)*(?:{_NAMES})(?:[-_]+[a-z0-9]+)*", re.I)
+# Words that name a site's slots, alone or several of them together, and the parts that may join them.
+_NAMES = "ad ads advert adverts advertisement advertisements adsense sponsor sponsored sponsors promo promos promotion promotions banner banners nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars footer masthead topbar cookie cookies consent gdpr notice notices popup popups modal overlay newsletter subscribe subscription share sharing social related recommended recommendations comment comments commentlist respond disqus reply replies widget widgets toolbar pagination pager login signup copyright disclaimer paywall".split()
+_PARTS = "site page global main top bottom left right header footer box bar area block list links link button buttons container wrapper section panel slot unit post posts article articles content item items icons form side inner outer primary secondary".split()
+_NAMED = re.compile(rf"(?=(?:[a-z]+[-_])*?(?:{'|'.join(_NAMES)})(?:[-_]|\Z))(?:{'|'.join(sorted(_NAMES + _PARTS, key=len, reverse=True))})(?:[-_](?:{'|'.join(sorted(_NAMES + _PARTS, key=len, reverse=True))}|[0-9]+))*", re.I)
 _PAGE_PART = re.compile(r"(?:(?:site|page|global|main|top)[-_]?)(?:header|footer)|header|side[-_]bar", re.I)
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>", re.S)
+_OPEN = re.compile(r"<(?:(!--)|[!?]|(/?)([a-zA-Z][^\s/>]*))")
+_REST = re.compile(r"[^>\"']*+")
 _ATTRIBUTE = re.compile(r"([^\s=\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _CLOSES = {k: re.compile(rf"</{k}\s*>", re.I) for k in RAW}
 
 
-def _kind(tag: str, raw: str, in_main: bool) -> str:
-    """What an element says of the text in it: `junk`, `main` or nothing."""
+class Line(NamedTuple):
+    """A block of text: where it stands (`article`, `main`, `site` in an element of the site's, `named` in a slot with a name, or nothing) and the slot."""
+
+    text: str
+    kind: str
+    slot: str
+
+
+class _Open(NamedTuple):
+    """An open element: what holds inside it, its slot, the kind around the site's part it is in, and whether that is only a header."""
+
+    tag: str
+    kind: str
+    slot: str
+    around: str
+    header: bool
+
+
+def _kind(tag: str, raw: str) -> tuple[str, str]:
+    """What an element says of the text in it, and its slot."""
     if tag in JUNK:
-        return "junk"
-    if tag in ("html", "body"):
-        return ""
-    found = {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(raw)} if raw.strip(" /") else {}
+        return "site", tag
+    if tag in ("html", "body") or not raw.strip(" /"):
+        return ("article" if tag == "article" else "main" if tag == "main" else ""), tag
+    found = {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(raw)}
     if "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", found.get("style", "")):
-        return "junk"
+        return "site", f"{tag} hidden"
     role = found.get("role", "").lower()
     if role in JUNK_ROLES:
-        return "junk"
+        return "site", f"{tag} {role}"
     names = f"{found.get('class', '')} {found.get('id', '')}".split()
-    if tag != "main" and any(_JUNK_NAME.fullmatch(x) or _PAGE_PART.fullmatch(x) for x in names):
-        return "junk"
+    slot = " ".join((tag, *names))
+    if tag not in ("main", "article") and any(_NAMED.fullmatch(x) or _PAGE_PART.fullmatch(x) for x in names):
+        return "named", slot
     if tag == "article" or "articlebody" in found.get("itemprop", "").lower() or any(x.lower() in MAIN_IDS for x in names):
-        return "article"
-    return "main" if tag == "main" or role in ("main", "article") else ""
+        return "article", slot
+    return "main" if tag == "main" or role in ("main", "article") else "", slot
+
+
+def _tag_end(page: str, at: int, last: dict[str, int]) -> int:
+    """Where the tag ends whose attributes begin at `at`; `last` has each quote's last place, so no search for a missing one is made twice."""
+    while at < len(page):
+        at = _REST.match(page, at).end()
+        if at >= len(page) or page[at] == ">":
+            break
+        end = page.find(page[at], at + 1) if at < last[page[at]] else page.find(">", at) - 1
+        if end < at:
+            return len(page)
+        at = end + 1
+    return at
 
 
-def lines(page: str | None) -> list[tuple[str, str]]:
-    """(text, kind) of each block of text in page order; kind is `junk`, `article`, `main` or empty."""
+def lines(page: str | None) -> list[Line]:
+    """The blocks of text in page order."""
     page = page or ""
-    out: list[tuple[str, str]] = []
-    stack: list[tuple[str, str]] = []  # open elements with the kind that holds inside them
+    out: list[Line] = []
+    stack = [_Open("", "", "", "", False)]
+    opened: dict[str, int] = defaultdict(int)
     words: list[str] = []
-    kind, at = "", 0
+    last = {q: page.rfind(q) for q in "\"'"}
+    at = 0
 
     def flush() -> None:
         if words:
             text = " ".join("".join(words).split())
             words.clear()
             if text:
-                out.append((text, kind))
+                out.append(Line(text, stack[-1].kind, stack[-1].slot))
+
+    def pop() -> str:
+        tag = stack.pop().tag
+        opened[tag] -= 1
+        return tag
 
     while at < len(page):
-        token = _TOKEN.search(page, at)
+        token = _OPEN.search(page, at)
         text = page[at : token.start()] if token else page[at:]
         if text:
             words.append(html.unescape(text) if "&" in text else text)
         if not token:
             break
-        at = token.end()
-        if token[2] is None:
+        if token[3] is None:
+            end = page.find("-->" if token[1] else ">", token.end())
+            at = len(page) if end < 0 else end + (3 if token[1] else 1)
             continue
-        tag = token[2].lower()
+        end = _tag_end(page, token.end(), last)
+        tag, raw, at = token[3].lower(), page[token.end() : end], end + 1
         if tag == "br":
             words.append(" ")
-        if token[1]:
-            if any(t == tag for t, _ in reversed(stack)):
-                flush() if tag in BLOCKS or kind != (stack[-2][1] if len(stack) > 1 else "") else None
-                while stack.pop()[0] != tag:
+        if token[2]:
+            if opened[tag]:
+                if tag in BLOCKS or stack[-1].kind != stack[-2].kind:
+                    flush()
+                while pop() != tag:
                     pass
-                kind = stack[-1][1] if stack else ""
             elif tag in BLOCKS:
                 flush()
             continue
         if tag in RAW:
-            end = _CLOSES[tag].search(page, at)
-            at = end.end() if end else len(page)
+            close = _CLOSES[tag].search(page, at)
+            at = close.end() if close else len(page)
             continue
         if tag in BLOCKS:
             flush()
-            while stack and stack[-1][0] == "p":
-                stack.pop()
-            kind = stack[-1][1] if stack else ""
+            while stack[-1].tag == "p":
+                pop()
         elif tag in ("td", "th"):
             words.append(" ")
-        if tag in VOID or token[3].endswith("/") and tag not in BLOCKS:
+        if tag in VOID or raw.endswith("/") and tag not in BLOCKS:
             continue
-        own = _kind(tag, token[3], kind == "article")
-        if kind == "junk":
-            inherits = next((k for t, k in reversed(stack) if t not in ("header", "hgroup") and k != "junk"), "") if tag in HEADINGS else ""
-            inside = inherits == "article" and all(t in ("header", "hgroup", "div", "p") for t, k in stack if k == "junk") and any(t == "header" for t, _ in stack)
-            own = "article" if inside else "junk"  # an article's heading stays, though its header goes
-        elif own == "main" and kind == "article" or not own:
-            own = kind
-        if own != kind:
+        on = stack[-1]
+        kind, slot = _kind(tag, raw)
+        if on.kind == "site":
+            # An article's heading stays, though its header goes.
+            inside = tag in HEADINGS and on.around == "article" and on.header
+            new = _Open(tag, "article", slot, "", False) if inside else _Open(tag, "site", on.slot, on.around, on.header and tag in ("header", "hgroup", "div", "p"))
+        elif on.kind == "named" and kind != "site":
+            new = _Open(tag, "named", on.slot, on.around, False)
+        elif not kind or kind == "main" and on.kind == "article":
+            new = _Open(tag, on.kind, slot, "", False)
+        else:
+            new = _Open(tag, kind, slot, on.around if on.kind == "named" else on.kind, tag in ("header", "hgroup"))
+        if new.kind != on.kind:
             flush()
-        stack.append((tag, own))
-        kind = own
+        stack.append(new)
+        opened[tag] += 1
     flush()
     return out
 
@@ -198,16 +254,37 @@ def _steps(a: list, b: list) -> list[int]:
     return out
 
 
-def main_text(page: list[tuple[str, str]], pair: list[tuple[str, str]] | None) -> tuple[str, int]:
-    """(text, lines shared with the pair). The article's lines, or where none is named, all lines but those shared."""
-    shared = set(common_lines([t for t, _ in page], [t for t, _ in pair])) if pair else set()
-    for kind in ("article", "main"):
-        if any(k == kind for _, k in page):
-            wanted = ("article", "main") if kind == "main" else (kind,)
-            return "\n".join(t for t, k in page if k in wanted), len(shared)
-    own = [(i, t) for i, (t, k) in enumerate(page) if k != "junk"]
-    kept = [t for i, t in own if i not in shared] or [t for _, t in own]
-    return "\n".join(kept), len(shared)
+class Text(NamedTuple):
+    """A page's text, and how many lines went because its pair has them, has their slot, or by markup alone."""
+
+    text: str
+    shared: int
+    slots: int
+    markup: int
+
+
+def main_text(page: list[Line], pair: list[Line] | None) -> Text:
+    """The lines that are the page's own."""
+    named = next((k for k in ("article", "main") if any(x.kind == k for x in page)), "")
+    protected = {"article", "main"} if named == "main" else {named} - {""}
+    theirs = {x.slot for x in pair or () if x.kind in ("site", "named")}
+    outside = {x.slot for x in pair or () if x.kind not in ("article", "main")}
+    shared = set(common_lines([x.text for x in page], [x.text for x in pair])) if pair else set()
+    kept, copies, gone = [], [], [0, 0, 0]
+    for i, x in enumerate(page):
+        if x.kind in protected:
+            kept.append(x.text)
+        elif i in shared:
+            gone[0] += 1
+            if not named and x.kind != "site":
+                copies.append(x.text)
+        elif x.slot in theirs and x.kind in ("site", "named") or named and x.slot in outside:
+            gone[1] += 1
+        elif x.kind == "site" or named and x.kind != "named" or x.kind == "named" and not pair:
+            gone[2] += 1
+        else:
+            kept.append(x.text)
+    return Text("\n".join(kept or copies), *gone)
 
 
 def _key(path: str | None, page_id: int | None) -> tuple:
@@ -259,13 +336,13 @@ def _with_parts(df: DataFrame) -> DataFrame:
 
 
 def extracted(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars, pair_id and shared_lines of every row of pages."""
+    """page_id, url, text, n_chars, pair_id and the lines that went (shared_lines, slot_lines, markup_lines) of every row of pages."""
     df = _with_parts(pages.select("page_id", "url", urls.host(F.col("url")).alias("host"), urls.path(F.col("url")).alias("path"), "html"))
     df = df.select("page_id", "url", "host", "part", "path", "copy", "html").repartition("host", "part").sortWithinPartitions("host", "part", "path", "page_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["page_id", "url", "text", "n_chars", "pair_id", "shared_lines"]
-        types = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64())
+        names = ["page_id", "url", "text", "n_chars", "pair_id", "shared_lines", "slot_lines", "markup_lines"]
+        types = (pa.int64(), pa.string(), pa.string(), *[pa.int64()] * 5)
 
         def read() -> Iterator[tuple]:
             for batch in batches:
@@ -279,8 +356,8 @@ def extracted(pages: DataFrame) -> DataFrame:
 
         def result(before: tuple | None, one: tuple, after: tuple | None) -> tuple:
             pair = nearest(one, before, after)
-            text, shared = main_text(one[4], pair and pair[4])
-            return one[0], one[1], text, len(text), pair and pair[0], shared
+            text, *gone = main_text(one[4], pair and pair[4])
+            return one[0], one[1], text, len(text), pair and pair[0], *gone
 
         out, size, before, one = [], 0, None, None
         for after in chain(read(), (None,)):
@@ -294,4 +371,4 @@ def extracted(pages: DataFrame) -> DataFrame:
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
 
-    return df.mapInArrow(run, "page_id bigint, url string, text string, n_chars bigint, pair_id bigint, shared_lines bigint")
+    return df.mapInArrow(run, "page_id bigint, url string, text string, n_chars bigint, pair_id bigint, shared_lines bigint, slot_lines bigint, markup_lines bigint")

@@ -6,6 +6,7 @@ import math
 import os
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -133,8 +134,52 @@ def test_longest_common_subsequence(a, b, bits):
 
 def test_shared_lines_go_where_no_article_is_named():
     a, b = (pagediff.lines(f"<div>Menu</div><p>{x} own</p><div>Foot</div>") for x in "ab")
-    assert pagediff.main_text(a, b) == ("a own", 2)
-    assert pagediff.main_text(a, a) == ("Menu\na own\nFoot", 3)
+    assert pagediff.main_text(a, b) == ("a own", 2, 0, 0)
+    assert pagediff.main_text(a, a) == ("Menu\na own\nFoot", 3, 0, 0)
+    assert pagediff.main_text(a, None) == ("Menu\na own\nFoot", 0, 0, 0)
+
+
+def test_the_pair_decides():
+    """No list of words decides alone: a slot inside an article goes if the pair has it, and shared lines go if they are the pair's too."""
+    slot = lambda name, n: pagediff.lines(f"<article><p>text {n}</p><div class='{name}'>see {n}</div></article>")
+    plain = pagediff.lines("<article><p>text 9</p></article>")
+    assert pagediff.main_text(slot("related", 1), plain).text == "text 1\nsee 1"
+    assert pagediff.main_text(slot("related", 1), slot("related", 2)) == ("text 1", 0, 1, 0)
+    for name in ("related-work", "share-price", "social-history", "no-sidebar"):
+        assert pagediff.main_text(slot(name, 1), slot(name, 2)).text == "text 1\nsee 1"
+    a, b, c = (pagediff.lines(f"<div>{m}</div><p>{x}</p>") for m, x in (("Menu", "a"), ("Menu", "b"), ("Other", "c")))
+    assert pagediff.main_text(a, b).text == "a" and pagediff.main_text(a, c).text == "Menu\na"
+
+
+def test_markup_breaks_ties():
+    page = pagediff.lines("<nav>menu</nav><div>teaser</div><article><p>text</p><div class=ad>buy</div></article><footer>foot</footer>")
+    assert pagediff.main_text(page, None) == ("text", 0, 0, 4)
+    assert pagediff.main_text(page, pagediff.lines("<article><p>other</p></article>")) == ("text\nbuy", 0, 0, 3)
+
+
+@pytest.mark.parametrize("part", ['<p title="a>b</p>', "<p x='", "<b>", "</i>", "<header><h1>x", "<a href='x' \"", "<!--", "<div class=a-a-a-a->"])
+def test_reading_takes_linear_time(part):
+    times = []
+    for n in (20_000, 80_000):
+        began = time.perf_counter()
+        pagediff.lines("<b>" * n + part * n + "<p>end")
+        times.append(time.perf_counter() - began)
+    assert times[1] < 10 * times[0] + 0.5
+
+
+def test_an_unclosed_quote_ends_with_its_tag():
+    assert [x.text for x in pagediff.lines('<p title="a>b</p><p>c &lt; d')] == ["b", "c < d"]
+    assert [x.text for x in pagediff.lines('<p title="a > b">b</p>')] == ["b"]
+
+
+def test_a_large_host_gives_the_texts_of_small_ones(spark, monkeypatch):
+    """Sections of four pages, each with a menu and a foot of its own and no named article: one host of 3,000 pages, or eight hosts."""
+    page = lambda i: f"<div>menu {i // 4}</div><p>own {i}</p><div>foot {i // 4}</div>"
+    monkeypatch.setattr(pagediff, "LARGE_ROWS", 100)
+    for hosts in (1, 8):
+        rows = [(i, f"http://h{i // 4 % hosts}.org/s{i // 4:05d}/p{i % 4}", page(i)) for i in range(3_000)]
+        got = pagediff.extracted(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
+        assert {r["page_id"]: r["text"] for r in got} == {i: f"own {i}" for i in range(3_000)}
 
 
 def test_article_text(spark):
@@ -162,9 +207,9 @@ def test_pairs_of_a_large_host(spark, monkeypatch, limit):
         own = sorted((p for p in pages if f"//{host}." in p[1]), key=lambda p: (p[1].encode(), p[0]))
         for i, one in enumerate(own):
             pair = max([own[j] for j in (i - 1, i + 1) if 0 <= j < len(own)], key=lambda p: len(os.path.commonprefix([p[1], one[1]])))
-            want[one[0]] = (pair[0], pagediff.main_text(pagediff.lines(one[2]), pagediff.lines(pair[2])))
+            want[one[0]] = (pair[0], *pagediff.main_text(pagediff.lines(one[2]), pagediff.lines(pair[2])))
     got = pagediff.extracted(spark.createDataFrame(pages, "page_id bigint, url string, html string")).collect()
-    assert len(got) == len(pages) and {r["page_id"]: (r["pair_id"], (r["text"], r["shared_lines"])) for r in got} == want
+    assert len(got) == len(pages) and {r["page_id"]: (r["pair_id"], r["text"], r["shared_lines"], r["slot_lines"], r["markup_lines"]) for r in got} == want
 
 
 # ---- 3
