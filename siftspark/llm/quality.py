@@ -8,7 +8,8 @@ Fit: at most `max_rows` labelled rows, the ones of the smallest hashed ids, deal
 each runs FTRL on its rows, and the weights are averaged. Only weights (1 MB a shard) reach the driver.
 
 Edge cases: a null or empty text scores the bias alone. Null ids and null labels are not learnt
-from. Repeated labels of an id: the smaller label counts. With no labels every score is 0.5.
+from, and a null id is not held out. Repeated labels of an id: the smaller label counts; of rows that repeat a
+labelled id the smallest text is learnt from, so the fit reads max_rows texts at most. With no labels every score is 0.5.
 Extra columns are carried by `score` under their names.
 """
 
@@ -78,11 +79,12 @@ def _sparse(slots: np.ndarray, text: np.ndarray, n: int) -> list[tuple[np.ndarra
 
 
 def features(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(slots, values) of each text, without the bias."""
+    """(different slots, values) of each text, without the bias."""
     out = []
     for lo, hi, grams, of_gram, forms, of_form in ngrams(column):
         for (a, x), (b, y) in zip(_sparse(grams, of_gram, hi - lo), _sparse(forms, of_form, hi - lo), strict=True):
-            out.append((np.concatenate((a, b)), np.concatenate((x, y))))
+            slots, which = np.unique(np.concatenate((a, b)), return_inverse=True)
+            out.append((slots, np.bincount(which, np.concatenate((x, y))).astype(np.float32)))
     return out
 
 
@@ -98,7 +100,7 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, alpha: f
 
     for _ in range(min(40, max(3, UPDATES // max(1, len(rows))))):
         for i in seed.permutation(len(rows)):
-            k = np.append(rows[i][0], size - 1)  # a slot that is in both blocks takes the last of two updates
+            k = np.append(rows[i][0], size - 1)
             x = np.append(rows[i][1], np.float32(1))
             w = weight(k)
             g = (1 / (1 + np.exp(-np.clip(w @ x, -30, 30))) - labels[i]) * x
@@ -119,7 +121,8 @@ def fit(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> np
     """The weights. The sample has at most max_rows rows, so it is broadcast to the scan of documents."""
     sample = common.store(labelled(labels, max_rows), "labelled")
     shards = max(1, round(sample.count() / SHARD_ROWS))
-    rows = documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(shards)).alias("shard"), "doc_id", "text", "quality")
+    rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+    rows = rows.select(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(shards)).alias("shard"), "doc_id", "text", "quality")
 
     def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectors, marks, ids = [], [], []
@@ -173,7 +176,7 @@ def score(documents: DataFrame, weights: np.ndarray, keep: list[str] | None = No
 def quality_scores(documents: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score, predicted of every row of documents."""
     found = score(documents, fit(documents, labels), ["doc_id"])
-    return found.select("doc_id", F.expr("pmod(crc32(cast(cast(doc_id as string) as binary)), 5) = 0").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return found.select("doc_id", F.expr("coalesce(pmod(crc32(cast(cast(doc_id as string) as binary)), 5) = 0, false)").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def accepted(documents: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
