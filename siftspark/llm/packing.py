@@ -7,8 +7,9 @@ shortest packs that have room, and counts patterns, not packs. Where no pack has
 take the length as often as it fits. Patterns become slots (length, ranks, first sequence, offset),
 and pieces join them by length and rank. No piece is moved or sorted.
 
-Edge cases: a null or empty text is its end id alone. Rows that repeat a doc_id are documents of
-their own. Special tokens' strings in a text are ordinary text. An empty table gives no pieces.
+Edge cases: a null or empty text is its end id alone. Rows that repeat a doc_id, or have none, are documents of
+their own, and a null id stays null. A special token's string in a text is that token, as in the vocabulary's default
+encoding. Extra columns are not carried. An empty table gives no pieces.
 """
 
 from __future__ import annotations
@@ -29,8 +30,9 @@ from . import common
 
 LENGTH = 2048
 END = 1
-#: Fixed value: how the public byte-level vocabulary splits text.
+#: How the public byte-level vocabulary splits text, and its special token.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+SPECIAL = {"<|endoftext|>": 50256}
 
 
 @lru_cache(1)
@@ -40,13 +42,14 @@ def encoder(path: str):
         from tokenizers import Tokenizer
 
         found = Tokenizer.from_file(path)
-        found.encode_special_tokens = True
         return lambda text: found.encode(text, add_special_tokens=False).ids
     import tiktoken
 
     with open(path, "rb") as lines:
         ranks = {b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    found = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL)
+    whole, special = found.encode_ordinary, set(SPECIAL)
+    return lambda text: found.encode(text, allowed_special=special) if any(x in text for x in special) else whole(text)
 
 
 def pieces(documents: DataFrame, vocabulary: str, length: int = LENGTH) -> DataFrame:
