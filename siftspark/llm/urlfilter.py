@@ -2,14 +2,17 @@
 
 Rules are (verdict, host, path): one fits its host and all subdomains if the URL's path starts with
 its own; the longest wins. URLs that a rule fits are the labelled URLs. At most MAX_ROWS of each
-verdict (those of the smallest hashes) train the trees on the driver, 2 MB of URLs; the model, a few
-kB, goes to the tasks. Features: lengths, depth, digit ratio, entropies, parameter counts, letters
-and marks, and the smoothed share of blocked training URLs of the host's last one and two labels,
-of the path's first segment and of its extension (each URL's own label left out while training).
+verdict (those of the smallest hashes) train the trees on the driver, 2 MB of URLs; the model
+goes to the tasks. Features: lengths, depth, digit ratio, entropies, parameter counts, letters
+and marks, and suffix statistics: the smoothed share of blocked URLs, among all labelled ones, of the host's last one
+and two labels, of the path's first segment and of its extension. While training, a URL meets the statistics of the
+other folds' URLs: to leave out its own label alone would give the label away. The statistics are summed over the whole
+table in BUCKETS hashed buckets (1 MB a fold), whatever the number of suffixes.
 
 Edge cases: a null URL or one without `://` has an empty host and path, and the trees judge it. With
 fewer than two verdicts to learn from, the trees' score is the share of blocked URLs. Ties of rules'
-lengths: block. Repeated rows have equal verdicts. Extra columns are not carried.
+lengths: block. Repeated rows have equal verdicts. Null page_ids are kept, an empty table gives no rows, and extra
+columns are not carried.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from . import common, urls
 Rule = tuple[str, str, str]
 MAX_ROWS = 10_000
 TREES, DEPTH, BINS, RATE = 40, 3, 32, 0.2
-SUFFIXES = 4_096
+BUCKETS, FOLDS = 1 << 16, 4
 _CLASSES = {"digits": np.arange(48, 58), "upper": np.arange(65, 91), "slash": [47], "dot": [46], "dash": [45, 95], "params": [38], "query": [63], "equals": [61], "percent": [37], "fragment": [35]}
 
 
@@ -39,14 +42,12 @@ def rule_of(host: Column, path: Column, rules: list[Rule]) -> tuple[Column, Colu
     return rule, verdict
 
 
-def suffixes(url: str) -> tuple[str, str, str, str]:
-    """The keys of a URL's suffix statistics."""
-    rest = url.partition("://")[2]
-    host = rest.partition("/")[0].partition("?")[0].partition("#")[0].lower()
-    path = rest[len(host) :].partition("?")[0].partition("#")[0]
-    labels, segments = host.split("."), [x for x in path.split("/") if x]
-    last = segments[-1] if segments else ""
-    return "1" + labels[-1], "2" + ".".join(labels[-2:]), "s" + (segments[0] if len(segments) > 1 else ""), "e" + (last.rpartition(".")[2] if "." in last else "")
+def suffixes(host: Column, path: Column) -> list[Column]:
+    """The buckets of a URL's suffix statistics."""
+    parts = F.filter(F.split(path, "/"), lambda x: x != "")
+    last = F.coalesce(F.try_element_at(parts, F.lit(-1)), F.lit(""))
+    keys = [F.substring_index(host, ".", -1), F.substring_index(host, ".", -2), F.when(F.size(parts) > 1, F.get(parts, F.lit(0))).otherwise(""), F.when(F.contains(last, F.lit(".")), F.substring_index(last, ".", -1)).otherwise("")]
+    return [F.pmod(F.xxhash64(F.lit(i), k), F.lit(BUCKETS)) for i, k in enumerate(keys)]
 
 
 def lexical(column: pa.Array) -> np.ndarray:
@@ -119,42 +120,42 @@ class Trees:
 
 
 class Model:
-    """Suffix statistics and trees, from labelled URLs."""
-
-    def __init__(self, found: list[str], blocked: np.ndarray) -> None:
-        self.share = (blocked.sum() + 1) / (len(blocked) + 2)
-        sums: dict[str, list[float]] = {}
-        keys = [suffixes(u) for u in found]
-        for own, y in zip(keys, blocked, strict=True):
-            for k in own:
-                s = sums.setdefault(k, [0, 0])
-                s[0] += y
-                s[1] += 1
-        rate = lambda s, y=None: (s[0] - (y or 0) + 5 * self.share) / (s[1] - (y is not None) + 5)
-        own = np.array([[rate(sums[k], y) for k in ks] for ks, y in zip(keys, blocked, strict=True)]).reshape(-1, 4)
-        most = sorted(sums, key=lambda k: (-sums[k][1], k))[:SUFFIXES]
-        self.rates = {k: rate(sums[k]) for k in most}
+    """Trees over lexical features and suffix statistics; `sums` has blocked and all labelled URLs of each fold and bucket."""
+
+    def __init__(self, found: list[str], blocked: np.ndarray, buckets: np.ndarray, fold: np.ndarray, sums: np.ndarray) -> None:
+        self.sums = sums.sum(0)
+        total = self.sums.sum(1) / max(1, buckets.shape[1])  # every labelled URL is in one bucket of each kind of suffix
+        self.share = (total[0] + 1) / (total[1] + 2)
+        own = self.rates(self.sums[:, buckets] - sums.transpose(1, 0, 2)[:, fold[:, None], buckets])
         self.trees = Trees(np.column_stack([lexical(pa.array(found, pa.string())), own]), blocked)
 
-    def predict(self, column: pa.Array) -> np.ndarray:
-        own = np.array([[self.rates.get(k, self.share) for k in suffixes(u or "")] for u in column.to_pylist()]).reshape(-1, 4)
-        return self.trees.predict(np.column_stack([lexical(column), own]))
+    def rates(self, sums: np.ndarray) -> np.ndarray:
+        """Smoothed shares of blocked URLs."""
+        return (sums[0] + 5 * self.share) / (sums[1] + 5)
+
+    def predict(self, column: pa.Array, buckets: np.ndarray) -> np.ndarray:
+        return self.trees.predict(np.column_stack([lexical(column), self.rates(self.sums[:, buckets])]))
 
 
 def verdicts(pages: DataFrame, rules: list[Rule], threshold: float = 0.5) -> DataFrame:
     """page_id, host, path, rule, verdict, block_score of every row of pages."""
     df = pages.select("page_id", "url", urls.host(F.col("url")).alias("host"), urls.path(F.col("url")).alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    df = df.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("ruled"), "url")
-    sample = [df.where(F.col("ruled") == v).select("url", "ruled").orderBy(F.xxhash64("url", "page_id"), "url").limit(MAX_ROWS) for v in ("allow", "block")]
+    df = df.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("ruled"), "url", F.array(*suffixes(F.col("host"), F.col("path"))).alias("buckets"))
+    ruled = df.where("ruled is not null").withColumn("fold", F.pmod(F.xxhash64("url"), F.lit(FOLDS)))
+    sums = np.zeros((FOLDS, 2, BUCKETS))
+    for r in ruled.select("fold", F.explode("buckets").alias("bucket"), "ruled").groupBy("fold", "bucket").agg(F.count_if(F.col("ruled") == "block").alias("blocked"), F.count("*").alias("n")).collect():  # FOLDS * BUCKETS rows at most
+        sums[r["fold"], :, r["bucket"]] = r["blocked"], r["n"]
+    sample = [ruled.where(F.col("ruled") == v).select("url", "ruled", "buckets", "fold").orderBy(F.xxhash64("url", "page_id"), "url").limit(MAX_ROWS) for v in ("allow", "block")]
     rows = sample[0].union(sample[1]).collect()  # 2 * MAX_ROWS rows at most
-    model = pages.sparkSession.sparkContext.broadcast(Model([r["url"] for r in rows], np.array([r["ruled"] == "block" for r in rows], float)))
+    fitted = Model([r["url"] for r in rows], np.array([r["ruled"] == "block" for r in rows], float), np.array([r["buckets"] for r in rows], np.int64).reshape(-1, 4), np.array([r["fold"] for r in rows], np.int64), sums)
+    model = pages.sparkSession.sparkContext.broadcast(fitted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for lo in range(0, whole.num_rows, 2048):
                 batch = whole.slice(lo, 2048)
-                score = model.value.predict(batch.column(5))
+                score = model.value.predict(batch.column(5), batch.column(6).flatten().to_numpy().reshape(-1, 4))
                 own = np.where(score >= threshold, "block", "allow")
                 verdict = [a or b for a, b in zip(batch.column(4).to_pylist(), own.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(verdict, pa.string()), pa.array(score)], names=["page_id", "host", "path", "rule", "verdict", "block_score"])
