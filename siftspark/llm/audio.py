@@ -1,6 +1,7 @@
 """MPEG audio columns: resynchronised frames, tags, variable-bitrate tables, checksums, durations, seek offsets.
 
-`parse` reads any MPEG 1/2/2.5 stream of layers I-III without decoding it. `carry` writes a valid
+`parse` reads an MPEG 1/2/2.5 stream of layers I-III without decoding it; frames of free format (bitrate index 0), whose
+length no header tells, are skipped and counted as bytes that are no frame. `carry` writes a valid
 stream: layer III, mono, 32 kHz, variable bitrate, silent granules, and the payload as ancillary
 bytes of the frames, behind an ID3v2 tag and a Xing/Info frame.
 
@@ -322,10 +323,14 @@ def feature(found: dict) -> str:
 
 
 def text_digests(df: DataFrame) -> DataFrame:
-    """Per row of (doc_id, text): the text carried as a stream, read back from it and indexed. A null text is empty."""
+    """Per row of (doc_id, text): the text carried as a stream, read back from it, with the index of the stored stream.
+
+    After the digests come the exact duration, the sample rate, and the byte offset of every frame, all as parsed.
+    A null text is empty; null and repeated ids are kept; extra columns are not carried.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+        names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "duration_us", "samples", "sample_rate", "seek_offsets"]
         for batch in batches:
             rows = []
             for text in batch.column(1):
@@ -333,9 +338,9 @@ def text_digests(df: DataFrame) -> DataFrame:
                 media = carry(raw + b" " * (-len(raw) % UNIT or (0 if raw else UNIT)))
                 found = parse(media)
                 back = payload_of(media, found)
-                rows.append((len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature(found)))
-            cols = list(zip(*rows, strict=True)) or [()] * 7
-            types = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+                rows.append((len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature(found), *(found[k] for k in ("duration_us", "samples", "sample_rate", "offsets"))))
+            cols = list(zip(*rows, strict=True)) or [()] * 11
+            types = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names=names)
 
-    return df.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")
+    return df.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, duration_us bigint, samples bigint, sample_rate int, seek_offsets array<bigint>")
