@@ -75,20 +75,31 @@ def reparsed(df: DataFrame) -> DataFrame:
     return df.withColumn("texts", F.when(right, F.col("texts")).otherwise(F.raise_error(F.lit("a conversation does not survive its round trip")).cast("array<string>")))
 
 
+def masked(df: DataFrame) -> DataFrame:
+    """df with `mask`: of each turn of `formatted`, in order, its rendered text and the part of it under the loss (start from 1, and length, 0 where there is none)."""
+    role, text = (lambda t, k=k: F.regexp_extract(t, TURN, k) for k in (1, 2))
+    under = lambda t: F.struct(t.alias("turn"), (F.length(role(t)) + len(OPEN) + 3).alias("start"), F.when(role(t) == "assistant", F.length(text(t))).otherwise(0).alias("length"))
+    return bound(df, "mask", F.transform(F.regexp_extract_all("formatted", F.lit(TURN), F.lit(0)), under))
+
+
+def loss_text() -> Column:
+    """All text under `mask`, unescaped."""
+    part = F.transform(F.filter("mask", lambda m: m["length"] > 0), lambda m: F.substring(m["turn"], m["start"], m["length"]))
+    return F.array_join(F.when(F.startswith("formatted", F.lit("<chat raw>\n")), part).otherwise(F.transform(part, unescape)), "")
+
+
 def loss_spans(df: DataFrame) -> DataFrame:
-    """Per assistant turn of `formatted`: conv_id, position of the turn, start and length of its (escaped) text in the rendered text."""
-    df = df.select("conv_id", F.length(F.regexp_extract("formatted", r"^<chat \w+>\n", 0)).alias("__head"), F.posexplode(F.regexp_extract_all("formatted", F.lit(TURN), F.lit(0))).alias("position", "__turn"))
-    df = df.withColumn("__role", F.regexp_extract("__turn", TURN, 1)).withColumn("length", F.length(F.regexp_extract("__turn", TURN, 2)))
-    before = "__head + coalesce(sum(length(__turn)) over (partition by conv_id order by position rows between unbounded preceding and 1 preceding), 0)"
-    df = df.withColumn("start", F.expr(f"{before} + length(__role) + {len(OPEN) + 2}"))
-    return df.where(F.col("__role") == "assistant").select("conv_id", "position", "start", "length")
+    """Per part of `formatted` under the loss: conv_id, position of its turn, start (from 0) and length in the rendered text."""
+    df = masked(df).select("conv_id", F.length(F.regexp_extract("formatted", r"^<chat \w+>\n", 0)).alias("__head"), F.posexplode("mask").alias("position", "__m"))
+    before = "__head + coalesce(sum(length(__m.turn)) over (partition by conv_id order by position rows between unbounded preceding and 1 preceding), 0)"
+    return df.select("conv_id", "position", F.expr(f"{before} + __m.start - 1").alias("start"), F.col("__m.length").alias("length")).where("length > 0")
 
 
 def conversation_digests(turns: DataFrame) -> DataFrame:
     """What is read back from each formatted conversation, as digests."""
-    df = formatted(turns)
+    df = masked(formatted(turns))
     pairs = F.zip_with("roles", "texts", lambda r, t: F.concat(r, F.lit("\n"), t, F.lit("\n")))
-    df = bound(df, "__loss", F.array_join(F.filter(F.zip_with("roles", "texts", lambda r, t: F.when(r == "assistant", t)), lambda x: x.isNotNull()), ""))
+    df = bound(df, "__loss", loss_text())
     return df.select(
         "conv_id", F.size("texts").cast("bigint").alias("n_turns"), F.sha2(F.array_join(pairs, ""), 256).alias("turns_sha256"),
         F.length("__loss").cast("bigint").alias("loss_chars"), F.sha2("__loss", 256).alias("loss_sha256"), F.length("formatted").cast("bigint").alias("formatted_chars"),
