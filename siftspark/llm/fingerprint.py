@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 BIN_BITS = 7
 BINS = 1 << BIN_BITS
 VALUE_BITS = 8
-BUCKET_ROWS, MAX_BUCKETS = 2_000, 200_000
+BUCKET_ROWS, MAX_BUCKETS, CROWDED = 2_000, 200_000, 4
 
 
 def bound(df: DataFrame, name: str, value: Column | str) -> DataFrame:
@@ -54,23 +54,55 @@ def likeness(df: DataFrame, a: str, b: str, name: str) -> DataFrame:
     return df.withColumn(name, F.expr(f"least(1D, greatest(0D, ({share} - {chance}D) / {1 - chance}D))")).select(*kept)
 
 
+def places(keys: DataFrame, key: str) -> list[DataFrame]:
+    """How to deal rows into buckets of neighbouring keys, in steps.
+
+    Step 0 cuts the keys' range into equal parts; each step after it cuts the parts with more than CROWDED times
+    BUCKET_ROWS rows again, where keys crowd. A table has `__of` (a part, a list of one number for each step before), `low` and
+    `width`: one row at step 0, and rows / (CROWDED * BUCKET_ROWS) at most after it, MAX_BUCKETS at most.
+    """
+    low, high, rows = keys.agg(F.min(key), F.max(key), F.count("*")).first()
+    spark = keys.sparkSession
+    parts = max(1, min(MAX_BUCKETS, rows // BUCKET_ROWS))
+    first = (0, 1) if low is None else (low, min((high - low) // parts + 1, (1 << 63) - 1))
+    out = [spark.createDataFrame([([], *first)], "__of array<bigint>, low bigint, width bigint")]
+    while len(out) < 4:
+        crowd = max(CROWDED * BUCKET_ROWS, rows // MAX_BUCKETS)
+        dealt = in_buckets(keys.select(key), out, key).groupBy("__bucket").agg(F.min(key).alias("low"), F.max(key).alias("high"), F.count("*").alias("n"))
+        dense = dealt.where((F.col("n") > crowd) & (F.col("high") > F.col("low")))
+        pieces = F.least(F.lit(MAX_BUCKETS), F.floor(F.col("n") / BUCKET_ROWS))
+        found = dense.withColumn("pieces", pieces).selectExpr("__bucket as __of", "low", "(cast(high as decimal(20, 0)) - low) div pieces + 1 as width").collect()
+        if not found:
+            break
+        out.append(spark.createDataFrame(found, "__of array<bigint>, low bigint, width bigint"))
+    return out
+
+
+def in_buckets(df: DataFrame, steps: list[DataFrame], key: str) -> DataFrame:
+    """df with `__bucket`, its part at each step: an array that orders as the keys do. Null keys come before all."""
+    _, low, width = steps[0].first()
+    part = lambda low, width: F.expr(f"coalesce((cast({key} as decimal(20, 0)) - {low}) div {width}, -1L)")
+    df = df.withColumn("__bucket", F.array(part(low, width)))
+    for table in steps[1:]:
+        df = df.join(F.broadcast(table), F.col("__bucket") == F.col("__of"), "left")
+        df = df.withColumn("__bucket", F.when(F.col("__of").isNotNull(), F.concat("__bucket", F.array(part("low", "width")))).otherwise(F.col("__bucket"))).drop("__of", "low", "width")
+    return df
+
+
 def with_next(df: DataFrame, keys: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """df with next_<column> from the row of the next smaller key; the last row's next is the first. keys: the same rows' keys, cheap to read.
 
     Rows are dealt into buckets of neighbouring keys; each bucket also gets a copy of the row that
-    follows its last, so no window spans more than a bucket. There are at most MAX_BUCKETS.
+    follows its last, so no window spans more than a bucket.
     """
-    low, high, rows = keys.agg(F.min(key), F.max(key), F.count("*")).first()
-    n = max(1, min(MAX_BUCKETS, rows // BUCKET_ROWS))
-    low, width = (low, (high - low) // n + 1) if low is not None else (0, 1)
-    place = F.coalesce(F.floor((F.col(key).cast("double") - float(low)) / float(width)), F.lit(-1))
-    df = df.withColumn("__bucket", place)
-    heads = keys.select(key, place.alias("__bucket")).groupBy("__bucket").agg(F.max(key).alias("__head"))
+    steps = places(keys, key)
+    df = in_buckets(df, steps, key)
+    heads = in_buckets(keys.select(key), steps, key).groupBy("__bucket").agg(F.max(key).alias("__head"))
     # The bucket above takes a copy of a bucket's first row; the lowest takes that of the highest.
     above = "coalesce(lag(__bucket) over (order by __bucket desc), min(__bucket) over ())"
     heads = heads.select(F.col("__bucket").alias("__of"), "__head", F.expr(above).alias("__above"))
     same = (F.col("__bucket") == F.col("__of")) & F.col(key).eqNullSafe(F.col("__head"))
-    df = df.join(F.broadcast(heads), same, "left")  # MAX_BUCKETS rows of 24 bytes at most
+    df = df.join(F.broadcast(heads), same, "left")  # 2 * MAX_BUCKETS rows at most
     to = F.when(F.col("__above").isNull(), F.array(F.struct(F.col("__bucket").alias("b"), F.lit(False).alias("copy")))).otherwise(
         F.array(F.struct(F.col("__bucket").alias("b"), F.lit(False).alias("copy")), F.struct(F.col("__above").alias("b"), F.lit(True).alias("copy")))
     )
