@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import shared_dir
 
@@ -18,6 +18,7 @@ SEGMENT = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _POWERS: list[np.ndarray] = []
+_STORED: list[str] = []
 
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -29,7 +30,20 @@ def store(df: DataFrame, label: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: lost executors lose nothing."""
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _STORED.append(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    found.stored_at = path
+    return found
+
+
+def drop(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete stored tables that no later step reads; without tables, all that this process has stored."""
+    paths = [t.stored_at for t in tables] if tables else list(_STORED)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(conf).delete(place, True)
+        _STORED.remove(path)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

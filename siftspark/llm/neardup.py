@@ -127,7 +127,7 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
 def stars(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node that each node of `edges` (a, b) reaches. Alternates large-star and small-star steps."""
     edges = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    before = None
+    before, done = None, []
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -136,6 +136,8 @@ def stars(edges: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         edges = common.store(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "small-star")
+        common.drop(edges.sparkSession, *done, large)
+        done = [edges]
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if now == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
@@ -246,7 +248,7 @@ def components(documents: DataFrame, words: int = 5, percent: int = 80) -> DataF
 def distinct_documents(documents: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """One document of each group, with all columns: the one whose doc_id is the component's.
 
-    Rows that repeat a kept doc_id shrink to one. Rows without an id stay: none can stand for a group.
+    Rows that repeat a kept doc_id and its text shrink to one. Rows without an id stay: none can stand for a group.
     Only ids that go are joined, as they are fewer than those that stay.
     """
     found = common.store(components(documents, words, percent).where("doc_id is not null").groupBy("doc_id").agg(F.count_if("kept").alias("kept")), "kept")
@@ -254,4 +256,4 @@ def distinct_documents(documents: DataFrame, words: int = 5, percent: int = 80)
     kept = documents.join(gone, documents["doc_id"] == gone["__gone"], "left_anti")
     if found.where("kept > 1").isEmpty():
         return kept
-    return kept.where(documents["doc_id"].isNotNull()).dropDuplicates(["doc_id"]).unionByName(kept.where(documents["doc_id"].isNull()))
+    return kept.where(documents["doc_id"].isNotNull()).dropDuplicates(["doc_id", "text"]).unionByName(kept.where(documents["doc_id"].isNull()))

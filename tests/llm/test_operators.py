@@ -108,6 +108,22 @@ def test_audio_resynchronises_and_checks():
     assert audio.parse(None)["frames"] == audio.parse(b"no audio here")["frames"] == 0
 
 
+def test_audio_contract_columns(spark, documents):
+    """Every column of the digests against the payload, which is read here from the stored stream by hand."""
+    rows = {(r["doc_id"], r["n_bytes"], r["payload_sha256"]): r for r in audio.text_digests(documents).collect()}
+    for doc_id, text in documents.select("doc_id", "text").collect():
+        raw = (text or "").encode()
+        payload = raw.ljust(max(1, -(-len(raw) // 192)) * 192)
+        r = rows[doc_id, len(raw), hashlib.sha256(payload).hexdigest()]
+        media = audio.carry(payload)
+        assert (r["payload_bytes"], r["tail_crc32"]) == (len(payload), zlib.crc32(payload[-16:]))
+        assert (r["media_bytes"], r["media_sha256"]) == (len(media), hashlib.sha256(media).hexdigest())
+        ends = [*r["seek_offsets"][1:], len(media)]
+        assert all(media[a : a + 2] == b"\xff\xfa" for a in r["seek_offsets"])
+        assert b"".join(media[a + 23 : b] for a, b in zip(r["seek_offsets"], ends))[: len(payload)] == payload
+        assert r["samples"] == 1152 * len(r["seek_offsets"]) and r["sample_rate"] == 32_000 and r["duration_us"] == r["samples"] * 1_000_000 // 32_000
+
+
 def test_audio_index(spark):
     df = spark.createDataFrame([(1, audio.carry(b"x" * 3000)), (2, None), (3, b"\xff" * 50)], "id bigint, media binary")
     out = {r["id"]: r for r in audio.audio_index(df, "media", "id").collect()}
@@ -248,6 +264,18 @@ def test_fingerprints(spark):
     assert abs(np.mean(errors)) < 0.01 and np.std(errors) < 0.06
 
 
+def test_next_rows_of_crowded_ids(spark, monkeypatch):
+    monkeypatch.setattr(fingerprint, "BUCKET_ROWS", 2)
+    ids = [*range(60), 10**9, *range(10**12, 10**12 + 9), -(2**63), 2**63 - 1]
+    df = spark.createDataFrame([(i, f"text {i}") for i in ids], "doc_id bigint, text string")
+    steps = fingerprint.places(df.select("doc_id"), "doc_id")
+    dealt = Counter(tuple(r["__bucket"]) for r in fingerprint.in_buckets(df, steps, "doc_id").collect())
+    assert len(steps) > 2 and max(dealt.values()) <= fingerprint.CROWDED * 2
+    order = sorted(ids, reverse=True)
+    got = {r["doc_id"]: r["next_text"] for r in fingerprint.with_next(df, df.select("doc_id"), "doc_id", ["text"]).collect()}
+    assert got == {k: f"text {order[(i + 1) % len(order)]}" for i, k in enumerate(order)}
+
+
 def test_next_rows_do_not_depend_on_buckets(spark, documents, monkeypatch):
     want = sorted(map(str, fingerprint.edited_fingerprints(documents).collect()))
     monkeypatch.setattr(fingerprint, "BUCKET_ROWS", 3)
@@ -270,7 +298,7 @@ def test_patterns_hold_the_histogram(histogram):
 
 def test_packing(spark, documents):
     slow = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    slow.encode_special_tokens = True
+    assert slow.encode("<|endoftext|> hi", add_special_tokens=False).ids == packing.encoder(RANKS)("<|endoftext|> hi") == [50256, 23105]
     rows = packing.pack(documents, RANKS).collect()
     got = defaultdict(list)
     for r in rows:
@@ -309,9 +337,28 @@ def test_trees_learn_lexical_rules():
     rng = np.random.default_rng(2)
     names = [f"http://h{i % 9}.net/" + "".join(rng.choice(list("abcdefgh" if i % 2 else "0123456789"), 12)) for i in range(600)]
     blocked = np.array([float(i % 2 == 0) for i in range(600)])
-    model = urlfilter.Model(names[:400], blocked[:400])
-    assert ((model.predict(pa.array(names[400:])) > 0.5) == (blocked[400:] > 0)).mean() > 0.98
-    assert (urlfilter.Model([], np.zeros(0)).predict(pa.array(["http://a/b", None])) < 0.5).all()
+    none = np.zeros((600, 4), np.int64)
+    sums = np.zeros((urlfilter.FOLDS, 2, urlfilter.BUCKETS))
+    sums[:, :, 0] = blocked[:400].sum(), 400
+    model = urlfilter.Model(names[:400], blocked[:400], none[:400], none[:400, 0], sums)
+    assert ((model.predict(pa.array(names[400:]), none[400:]) > 0.5) == (blocked[400:] > 0)).mean() > 0.98
+    assert (urlfilter.Model([], np.zeros(0), none[:0], none[:0, 0], 0 * sums).predict(pa.array(["http://a/b", None]), none[:2]) < 0.5).all()
+
+
+def test_verdicts_without_a_rule(spark):
+    """Where no rule fits, hosts and paths that look like blocked ones are blocked; statistics are of all labelled URLs."""
+    urls = [f"http://a.com/{d}/{i}" for d in ("de", "fr") for i in range(300)] + [f"http://b.net/{d}/{i}" for d in ("de", "fr") for i in range(50)]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+    out = {urls[r["page_id"]]: r for r in urlfilter.verdicts(df, queries.RULES).collect()}
+    assert all(r["rule"] is None and r["verdict"] == ("block" if "/de/" in u else "allow") == ("block" if r["block_score"] >= 0.5 else "allow") for u, r in out.items() if "b.net" in u)
+
+
+def test_suffixes(spark):
+    """Buckets follow the host's last labels, the first of several segments, and the extension."""
+    same = [("x.İstanbul.example.org", "/a/b.html"), ("y.q.example.org", "/a//c/d.x.html")]
+    df = spark.createDataFrame(same + [("example.com", "/a"), ("", "")], "host string, path string")
+    got = [r[0] for r in df.select(urlfilter.F.array(*urlfilter.suffixes(urlfilter.F.col("host"), urlfilter.F.col("path")))).collect()]
+    assert got[0] == got[1] and all(x != y for x, y in zip(got[0], got[2])) and got[2][2] == got[3][2]
 
 
 # ---- 7
@@ -388,6 +435,11 @@ def test_mix_targets(spark):
         by[r["source_size"], r["target"]].append(r)
     for (size, target), own in by.items():
         assert abs(sum(r["taken"] for r in own) - target) <= 0.5 and target <= 2 * size
+    cells = Counter(r["cell"] for r in mixing.items(spark.createDataFrame([(i, "x" * 300, "s") for i in range(20_000)], "doc_id bigint, text string, source string")).collect())
+    assert max(cells.values()) < 40  # a text without spaces has the least weight, and its keys still spread
+    weighted = docs.withColumn("score", mixing.F.when((docs["doc_id"] / 4).cast("int") % 2 == 0, 0.9).otherwise(0.001))
+    picked = Counter(r["doc_id"] // 4 % 2 for r in mixing.mix(weighted, "score").collect() if r["taken"] > 0)
+    assert picked[0] > 1.1 * picked[1]
     total = sum(r["size"] for r in rows)
     assert math.isclose(sum(t for _, t in by), 1.5 * total)
     assert sorted(map(str, mixing.mix(docs.repartition(7)).collect())) == sorted(map(str, rows))
