@@ -11,7 +11,8 @@ from the token up: p1(c) = (n(c) + 1) / (N + V + 1); p2(c|b) = (n(bc) + t(b) p1)
 p3(c|ab) from p2 alike; a context without kept runs leaves the shorter one's probability.
 
 The filter grows with the corpus, so it is never gathered or sent to all workers: texts' runs go to the blocks of
-their middle tokens' sections, which hold all that a token needs, and the sums of their logarithms come back by text.
+their middle tokens' sections, which hold all that a token needs, and the sums of their logarithms come back to
+buckets of neighbouring texts.
 A section of more than SECTION_TOKENS training tokens is split by the token before the
 middle one: a cell has the runs of three of its own contexts, and a copy of the section's block of pairs. Equal
 runs of a text travel once.
@@ -46,6 +47,7 @@ HEADS = 1 << 18
 MIN_BITS, LEVEL_BITS, PROBES, BASE = 1 << 10, 12, 4, 1.5
 SECTION_TOKENS, CHUNK = 3_000_000, 1 << 19
 FLUSH, RUN_FLUSH, MERGE = 3_000_000, 1_500_000, 2_000_000
+BUCKET_BITS = 14
 FIRST_BITS, SECOND_BITS = 24, 24
 KEY_BITS = FIRST_BITS + SECOND_BITS
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -287,6 +289,7 @@ def fit(train: DataFrame, rows: int) -> Model:
     """The model of the column text of train, a table of at most `rows` rows."""
     shards = min(MAX_SHARDS, max(MIN_SHARDS, 1 << max(0, rows // SHARD_DOCUMENTS - 1).bit_length()))
     counts = common.store(token_counts(train, shards), "tokens")
+    common.release(train.sparkSession)
     found = counts.select("shard", "total", "distinct", "head_keys", "head_counts").collect()  # MAX_SHARDS rows, HEADS tokens at most
     total, distinct = sum(r["total"] for r in found), sum(r["distinct"] for r in found)
     heads = _Tally()
@@ -382,6 +385,7 @@ def _blocks(train: DataFrame, model: Model) -> DataFrame:
 
     dealt = train.select("text").mapInArrow(count, "section int, copy int, order int, keys binary, before binary, counts binary")
     merged = common.store(dealt.groupBy("section", "copy").applyInArrow(merge, "section int, copy int, order int, data binary, counts binary"), "runs")
+    common.release(train.sparkSession)
     pairs = merged.where("order = 2").groupBy("section").applyInArrow(build, "section int, block binary")
     cells = F.explode(F.sequence(F.lit(0), F.get(F.array(*(F.lit(int(x)) for x in copies)), F.col("section")) - 1))
     pairs = pairs.select("section", cells.alias("copy"), F.lit(2).alias("order"), "block")
@@ -399,15 +403,18 @@ def score(rows: DataFrame, model: Model) -> DataFrame:
     """The model's scores of rows (doc_id, held_out, text)."""
     context = rows.sparkSession.sparkContext
     counts, blocks, shards, copies = model.counts, model.blocks, model.shards, model.copies
-    sections = len(copies)
+    sections, total, distinct = len(copies), model.total, model.distinct
     known, times = model.heads
     shared = context.broadcast((known, times, _levels(np.maximum(1, times)).astype(np.uint8)))
-    whole = "row bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, log_counts double, score double"
-    whole_types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-    cell = "section int, copy int, keys binary, before binary, levels binary, times binary, rows binary, spans binary, exact binary"
-    cell_types = [pa.int32()] * 2 + [pa.binary()] * 7
-    names = [x.split()[0] for x in f"{cell}, {whole}".split(", ")]
-    total, distinct = model.total, model.distinct
+    cell = "section int, copy int, keys binary, before binary, levels binary, times binary, rows binary, spans binary, exact binary, texts binary, bucket bigint"
+    names = [x.split()[0] for x in cell.split(", ")]
+    cell_types = [pa.int32()] * 2 + [pa.binary()] * 8 + [pa.int64()]
+    part = "bucket bigint, texts binary, rows binary, logs binary, base binary, known binary"
+    part_types = [pa.int64()] + [pa.binary()] * 5
+
+    def batch_of(rows: list[tuple], types: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
+        columns = zip(*rows, strict=True) if rows else [()] * len(types)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
     def runs(row: np.ndarray) -> tuple[bytes, bytes]:
         at = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
@@ -417,9 +424,8 @@ def score(rows: DataFrame, model: Model) -> DataFrame:
         return _squeezed(counts.astype(np.uint32)) if len(counts) and counts.max() > 1 else b""
 
     def cells(to: np.ndarray, keys: np.ndarray, before: np.ndarray, levels: np.ndarray, times: np.ndarray, row: np.ndarray, exact: np.ndarray | None = None) -> pa.RecordBatch:
-        out = [(t >> 16, t & 0xFFFF, _six(keys[k]), before[k].tobytes(), _squeezed(levels[k]), few(times[k]), *runs(row[k]), _squeezed(exact[k]) if exact is not None else None) for t, k in _groups(to)]
-        columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), cell_types, strict=True)] if out else [pa.nulls(0, t) for t in cell_types]
-        return pa.RecordBatch.from_arrays(columns + [pa.nulls(len(out), t) for t in whole_types], names=names)
+        out = [(t >> 16, t & 0xFFFF, _six(keys[k]), before[k].tobytes(), _squeezed(levels[k]), few(times[k]), *runs(row[k]), _squeezed(exact[k]) if exact is not None else None, None, None) for t, k in _groups(to)]
+        return batch_of(out, cell_types, names)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         """Per segment: its batch, first and last row there, number of its first row, tokens, first of each text, place in the head, whether there."""
@@ -450,9 +456,10 @@ def score(rows: DataFrame, model: Model) -> DataFrame:
         for batch, lo, hi, index, tokens, first, at, in_head in read(batches):
             n = hi - lo
             logs = np.where(in_head, np.log10(times[at] + 1.0), 0.0) if len(times) else np.zeros(len(tokens))
-            texts = [pa.array(np.arange(index, index + n)), batch.column(0).slice(lo, n), batch.column(1).slice(lo, n), pa.array(np.diff(first)), pa.array(np.add.reduceat(in_head.astype(np.int64), first[:-1])), pa.array(np.add.reduceat(logs, first[:-1])), pa.nulls(n, pa.float64())]
-            to = np.arange(index, index + n) % sections
-            yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array((index + np.arange(n)) // sections % copies[to], pa.int32()), *(pa.nulls(n, t) for t in cell_types[2:]), *texts], names=names)
+            ids, held = batch.column(0).slice(lo, n), batch.column(1).slice(lo, n)
+            sums = np.add.reduceat(np.stack((in_head, logs)), first[:-1], 1)
+            texts = np.stack((np.arange(index, index + n), ids.fill_null(0).to_numpy(), ids.is_valid().to_numpy(False), held.to_numpy(False), np.diff(first), sums[0].astype(np.int64), sums[1].view(np.int64)))
+            yield batch_of([(b % sections, b // sections % int(copies[b % sections]), *[None] * 7, _squeezed(texts[:, k].ravel()), b) for b, k in _groups(texts[0] >> BUCKET_BITS)], cell_types, names)
             place, to, key, two, often, row = distinct_runs(index, tokens, first, in_head)
             yield cells(to, key, two, tops[at[place]] if len(tops) else np.zeros(0, np.uint8), often, row)
 
@@ -496,28 +503,48 @@ def score(rows: DataFrame, model: Model) -> DataFrame:
         return pa.Table.from_batches(out)
 
     def probe(left: pa.Table, right: pa.Table) -> pa.Table:
-        """The whole texts as they are, and for each text with runs in the cell the sums of what they give."""
-        texts = left.filter(left.column("row").is_valid()).select(names[len(cell_types) :])
+        """Packs of texts as they are, and for each text with runs in the cell the sums of what they give, by bucket."""
+        texts = left.filter(left.column("texts").is_valid())
+        out = [(b, t, *[None] * 4) for b, t in zip(texts.column("bucket").to_pylist(), texts.column("texts").to_pylist(), strict=True)]
         pairs, triples = (Filter(next((b for o, b in zip(right.column("order").to_pylist(), right.column("block").to_pylist(), strict=True) if o == k), None)) for k in (2, 3))
         found = []
-        for part in chunks(left.select(names[2 : len(cell_types)]).filter(left.column("row").is_null())):
-            key, two, often, rows, spans = unpacked(part)
-            levels = np.concatenate([_unsqueezed(x, np.uint8) for x in part["levels"]])
+        for pack in chunks(left.select(names[2:9]).filter(left.column("texts").is_null())):
+            key, two, often, rows, spans = unpacked(pack)
+            levels = np.concatenate([_unsqueezed(x, np.uint8) for x in pack["levels"]])
             logs = log_probability(pairs, triples, key, two, levels, total, distinct) * often
-            exact = np.concatenate([_unsqueezed(x, np.int64) if x is not None else np.zeros(len(y) // 4, np.int64) for x, y in zip(part["exact"], part["before"], strict=True)])
+            exact = np.concatenate([_unsqueezed(x, np.int64) if x is not None else np.zeros(len(y) // 4, np.int64) for x, y in zip(pack["exact"], pack["before"], strict=True)])
             at = np.cumsum(spans) - spans
             found.append(_sums(rows, *(np.add.reduceat(v, at) for v in (logs, often * np.log10(exact + 1.0), np.where(exact > 0, often, 0).astype(np.int64)))))
-        if not found:
-            return texts
-        row, logs, base, known = _sums(*(np.concatenate(x) for x in zip(*found, strict=True)))
-        n = len(row)
-        sums = [pa.array(row), pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_()), pa.nulls(n, pa.int64()), pa.array(known), pa.array(base), pa.array(logs)]
-        return pa.concat_tables([texts, pa.Table.from_arrays(sums, names=texts.schema.names)])
+        if found:
+            row, logs, base, known = _sums(*(np.concatenate(x) for x in zip(*found, strict=True)))
+            for b, k in _groups(row >> BUCKET_BITS):
+                tails = known[k].any()
+                out.append((b, None, _squeezed(_steps(row[k])), logs[k].astype(np.float32).tobytes(), *((_squeezed(base[k]), _squeezed(known[k])) if tails else (None, None))))
+        return pa.Table.from_batches([batch_of(out, part_types, [x.split()[0] for x in part.split(", ")])])
+
+    def finish(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The texts of a bucket with the sums of all cells."""
+        texts, sums = [], np.zeros((3, 1 << BUCKET_BITS))
+        first = key[0].as_py() << BUCKET_BITS
+        for batch in batches:
+            for raw, row, *packed in zip(*(batch.column(c).to_pylist() for c in ("texts", "rows", "logs", "base", "known")), strict=True):
+                if raw is not None:
+                    texts.append(_unsqueezed(raw, np.int64).reshape(7, -1))
+                    continue
+                at = np.cumsum(_unsqueezed(row, np.int64)) - first
+                sums[0, at] += np.frombuffer(packed[0], np.float32)
+                if packed[1] is not None:
+                    sums[1, at] += _unsqueezed(packed[1], np.float64)
+                    sums[2, at] += _unsqueezed(packed[2], np.int64)
+        row, ids, valid, held, n, known, logs = np.concatenate(texts, 1)
+        logs_of, base, more = sums[:, row - first]
+        columns = [pa.array(ids, mask=valid == 0), pa.array(held.astype(bool)), pa.array(n), pa.array(known + more.astype(np.int64)), pa.array(logs.view(np.float64) + base), pa.array(logs_of)]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "log_counts", "score"])
 
     three = rows.select("doc_id", "held_out", "text")
-    tails = three.mapInArrow(send_tails, "shard int, tokens binary, cells binary, keys binary, before binary, times binary, rows binary, spans binary").groupBy("shard").cogroup(counts.select("shard", "keys", "counts").groupBy("shard")).applyInArrow(meet, f"{cell}, {whole}")
-    sent = three.mapInArrow(send, f"{cell}, {whole}").union(tails)
-    parts = sent.groupBy("section", "copy").cogroup(blocks.groupBy("section", "copy")).applyInArrow(probe, whole)
-    one = parts.groupBy("row").agg(*(F.max(c).alias(c) for c in ("doc_id", "held_out", "n_tokens")), *(F.sum(c).alias(c) for c in ("n_known", "log_counts", "score")))
+    tails = three.mapInArrow(send_tails, "shard int, tokens binary, cells binary, keys binary, before binary, times binary, rows binary, spans binary").groupBy("shard").cogroup(counts.select("shard", "keys", "counts").groupBy("shard")).applyInArrow(meet, cell)
+    sent = three.mapInArrow(send, cell).union(tails)
+    parts = sent.groupBy("section", "copy").cogroup(blocks.groupBy("section", "copy")).applyInArrow(probe, part)
+    one = parts.groupBy("bucket").applyInArrow(finish, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, log_counts double, score double")
     base = F.col("log_counts") - F.col("n_tokens") * F.log10(F.lit(float(total + distinct + 1)))
     return one.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("bigint").alias("train_tokens"), base.alias("base_score"), "score")

@@ -5,6 +5,7 @@ Words are runs of bytes other than 9-13 and 32, so UTF-8 text never needs decodi
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -36,6 +37,12 @@ def store(df: DataFrame, label: str) -> DataFrame:
     return found
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of finished steps: it does so when the driver has collected their plans."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def drop(spark: SparkSession, *tables: DataFrame) -> None:
     """Delete stored tables that no later step reads; without tables, all that this process has stored."""
     paths = [t.stored_at for t in tables] if tables else list(_STORED)
