@@ -1,4 +1,4 @@
-"""Text measures and cleaning as column expressions. Words are split at ASCII white space."""
+"""Text measures and cleaning as column expressions. White space is Unicode's (`urls.SPACE`)."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .urls import SPACE, strip
+
 # Fixed values.
 PORTAL_PHRASES = [
     "Restricted Card Content", "It looks like you're not authorized to see the content on this card.", "It looks like you are not authorized to see the content on this card.", "Request Authorization",
@@ -22,11 +24,11 @@ VENDOR_PHRASES = [
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    return F.filter(F.split(text, f"[{SPACE}]+"), lambda w: w != "")
 
 
 def word_count(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(r"\S+")), F.lit(0))
+    return F.coalesce(F.regexp_count(text, F.lit(f"[^{SPACE}]+")), F.lit(0))
 
 
 def token_estimate(count: Column) -> Column:
@@ -36,14 +38,13 @@ def token_estimate(count: Column) -> Column:
 
 def collapse(text: Column) -> Column:
     """All white space to single spaces; this joins paragraphs."""
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    return F.trim(F.regexp_replace(text, f"[{SPACE}]+", " "))
 
 
 def clean(text: Column, remove_urls: bool = False) -> Column:
     """At most one empty line between paragraphs and one space between words."""
-    ends = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
-    out = F.regexp_replace(F.regexp_replace(ends(text), r"\n{3,}", "\n\n"), " {2,}", " ")
-    return ends(F.regexp_replace(out, r"https?://\S+", "") if remove_urls else out)
+    out = F.regexp_replace(F.regexp_replace(strip(text), r"\n{3,}", "\n\n"), " {2,}", " ")
+    return strip(F.regexp_replace(out, f"https?://[^{SPACE}]+", "") if remove_urls else out)
 
 
 def without_phrases(text: Column, phrases: list[str]) -> Column:
@@ -51,8 +52,9 @@ def without_phrases(text: Column, phrases: list[str]) -> Column:
     out = text
     for phrase in phrases:
         out = F.replace(out, F.lit(phrase), F.lit(""))
-    out = F.regexp_replace(out, r"(?m)^\s*(ON|OFF)\s*$", "")
-    return F.regexp_replace(F.regexp_replace(out, r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
+    out = F.when(text.rlike(quoted(phrases)), out).otherwise(text)  # most texts hold none of them
+    out = F.regexp_replace(out, rf"(?m)^[{SPACE}]*(ON|OFF)[{SPACE}]*$", "")
+    return strip(F.regexp_replace(out, r"\n{3,}", "\n\n"))
 
 
 def content_hash(text: Column) -> Column:

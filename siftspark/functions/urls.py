@@ -27,13 +27,17 @@ FILE_RE = "(?i)(" + "|".join(x.replace(".", r"\.") for x in FILE_EXTENSIONS) + "
 JUNK_RE = "(?i)^(" + "|".join(JUNK_SCHEMES) + ")"
 
 
+#: White space as Unicode has it, with the separators U+001C to U+001F, as a class of a regular expression.
+SPACE = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.regexp_replace(text, rf"^[{SPACE}]+|[{SPACE}]+$", "")
 
 
 def scheme(url: Column) -> Column:
@@ -90,17 +94,31 @@ def dot_segments(p: Column) -> Column:
     return F.concat(F.array_join(kept, "/"), F.when(last.isin(".", ".."), "/").otherwise(""))
 
 
+def parts(url: Column) -> Column:
+    """struct(url, scheme, netloc, path, query), each split off once."""
+    return F.struct(url.alias("url"), scheme(url).alias("scheme"), netloc(url).alias("netloc"), path(url).alias("path"), query(url).alias("query"))
+
+
 def resolve(href: Column, base: Column) -> Column:
     """RFC 3986 5.2: the absolute URL of href in a page at base."""
+    return let(parts(base), lambda b: resolve_in(href, b))
+
+
+def resolve_in(href: Column, base: Column) -> Column:
+    """The absolute URL of href in a page whose URL has the `parts` base."""
     has_scheme = href.rlike("^[A-Za-z][A-Za-z0-9+.-]*:")
     has_host = href.startswith("//")
-    origin = F.concat(scheme(base), F.lit("://"), netloc(base))
+    origin = F.concat(base["scheme"], F.lit("://"), base["netloc"])
     tail = F.regexp_extract(href, r"(?s)([?#].*)$", 1)
-    p = path(href)
-    merged = F.concat(F.regexp_replace(path(base), "[^/]*$", ""), p)
-    merged = F.when(p.startswith("/"), p).otherwise(F.when(merged.startswith("/"), merged).otherwise(F.concat(F.lit("/"), merged)))
-    same = F.when(href.startswith("?"), F.concat(origin, path(base), tail)).otherwise(F.concat(F.regexp_replace(base, "(?s)#.*$", ""), tail))
-    return F.when(has_scheme, href).when(has_host, F.concat(scheme(base), F.lit(":"), href)).when(p == "", same).otherwise(F.concat(origin, dot_segments(merged), tail))
+
+    def relative(p: Column) -> Column:
+        merged = F.concat(F.regexp_replace(base["path"], "[^/]*$", ""), p)
+        merged = F.when(p.startswith("/"), p).otherwise(F.when(merged.startswith("/"), merged).otherwise(F.concat(F.lit("/"), merged)))
+        plain = ~merged.contains("/.")  # no dot segment, so nothing to fold
+        same = F.when(href.startswith("?"), F.concat(origin, base["path"], tail)).otherwise(F.concat(F.regexp_replace(base["url"], "(?s)#.*$", ""), tail))
+        return F.when(p == "", same).otherwise(F.concat(origin, F.when(plain, merged).otherwise(dot_segments(merged)), tail))
+
+    return F.when(has_scheme, href).when(has_host, F.concat(base["scheme"], F.lit(":"), href)).otherwise(let(path(href), relative))
 
 
 def _coded(x: Column) -> Column:
@@ -124,19 +142,28 @@ def form_query(q: Column, drop: list[str], ordered: bool = False) -> Column:
 
 def normalize(url: Column, base: Column | None = None, lowercase_path: bool = False, strip_www: bool = False) -> Column:
     """The URL under which a page is known, or null: junk schemes, other protocols, hostless URLs and files that are no pages."""
+    return normalize_in(url, None if base is None else parts(joinable_base(base)), lowercase_path, strip_www)
+
+
+def normalize_in(url: Column, base: Column | None, lowercase_path: bool = False, strip_www: bool = False) -> Column:
+    """`normalize`, with the `parts` of the base: split them once a page, not once a link."""
+    junk = strip(url).rlike(JUNK_RE)
     u = strip(url)
-    junk = u.rlike(JUNK_RE)
     if base is not None:
-        u = resolve(u, joinable_base(base))
-    params = F.regexp_extract(path(u), "(;[^/]+)$", 1)  # of the last segment; they stay, but are no part of the path
-    p = F.regexp_replace(path(u), ";[^/]*$", "")
-    p = F.regexp_replace(F.when(p == "", "/").otherwise(p), "/+", "/")
-    p = F.lower(p) if lowercase_path else p
-    p = F.when(p == "/", p).otherwise(F.regexp_replace(p, "/+$", ""))
-    host = F.regexp_replace(domain(u), r"^www\.", "") if strip_www else domain(u)
-    q = form_query(query(u), TRACKING_PARAMS)
-    whole = F.concat(scheme(u), F.lit("://"), host, p, params, F.when(q != "", F.concat(F.lit("?"), q)).otherwise(""))
-    return F.when(~junk & is_valid(u) & ~p.rlike(SKIP_RE), whole)
+        u = resolve_in(u, base)
+
+    def whole(u: Column) -> Column:
+        params = F.regexp_extract(u["path"], "(;[^/]+)$", 1)  # of the last segment; they stay, but are no part of the path
+        p = F.regexp_replace(u["path"], ";[^/]*$", "")
+        p = F.regexp_replace(F.when(p == "", "/").otherwise(p), "/+", "/")
+        p = F.lower(p) if lowercase_path else p
+        p = F.when(p == "/", p).otherwise(F.regexp_replace(p, "/+$", ""))
+        host = F.regexp_replace(F.lower(u["netloc"]), r"^www\.", "") if strip_www else F.lower(u["netloc"])
+        q = F.when(u["query"] == "", "").otherwise(F.concat(F.lit("?"), form_query(u["query"], TRACKING_PARAMS)))
+        out = lambda p: F.when(~p.rlike(SKIP_RE), F.concat(u["scheme"], F.lit("://"), host, p, params, F.when(q == "?", "").otherwise(q)))
+        return F.when(u["scheme"].isin("http", "https") & (u["netloc"] != ""), let(p, out))
+
+    return F.when(~junk, let(let(u, parts), whole))
 
 
 def decode_unreserved(text: Column) -> Column:
@@ -160,13 +187,14 @@ def canonical(url: Column, strip_query: bool = False) -> Column:
     u = strip(url)
     host = F.regexp_replace(strip_default_port(domain(u), scheme(u)), r"^www\.", "")
     p = decode_unreserved(F.regexp_replace(path(u), ";[^/]*$", ""))
-    double = p.rlike("^//[^/]")  # two leading slashes, and only two, are kept
+    double = p.rlike("^//[^/]") | (p == "//")  # two leading slashes, and only two, are kept
     kept = F.aggregate(
         F.filter(F.split(p, "/"), lambda s: ~s.isin("", ".")),
         F.array().cast("array<string>"),
         lambda acc, s: F.when(s == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(s))),
     )
     p = F.concat(F.when(double, "//").otherwise("/"), F.array_join(kept, "/"))
+    p = F.when(p == "//", "").otherwise(p)  # then nothing is left but closing slashes, and they go
     q = F.lit("") if strip_query else query(u)
     raw = F.concat(scheme(u), F.lit("://"), host, p, F.when(q != "", F.concat(F.lit("?"), q)).otherwise(""))
     whole = F.struct(scheme(u).alias("scheme"), host.alias("host"), p.alias("path"), q.alias("query"), raw.alias("raw"))
@@ -203,6 +231,11 @@ def origin(url: Column) -> Column:
     return F.concat(scheme(url), F.lit("://"), netloc(url))
 
 
+def site_root(url: Column) -> Column:
+    """The root of a URL's host."""
+    return F.concat(origin(url), F.lit("/"))
+
+
 def robots_url(url: Column) -> Column:
     return F.concat(origin(url), F.lit("/robots.txt"))
 

@@ -7,11 +7,12 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import urls as U
+from .classify import internal_link
 
 ENTITIES = {"&nbsp;": " ", "&copy;": "©", "&middot;": "·", "&quot;": '"', "&#39;": "'", "&lt;": "<", "&gt;": ">", "&amp;": "&"}
 HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
@@ -67,9 +68,27 @@ def main_text(markup: Column) -> Column:
 
 def links(pages: DataFrame, key: str = "page_id") -> DataFrame:
     """key, url, pos, href and dst: the absolute URL of each link in page order."""
-    found = pages.select(key, "url", F.posexplode(F.regexp_extract_all("html", F.lit(r"""(?is)<a\b[^>]*?\bhref=["']([^"']*)["']"""), F.lit(1))).alias("pos", "href"))
+    base = F.explode(F.array(U.parts(U.joinable_base(F.col("url"))))).alias("__base")  # once a page
+    found = pages.select(key, "url", "html", base).select(key, "url", "__base", F.posexplode(F.regexp_extract_all("html", F.lit(r"""(?is)<a\b[^>]*?\bhref=["']([^"']*)["']"""), F.lit(1))).alias("pos", "href"))
     # A generator keeps the long expression from being inlined wherever dst is read.
-    return found.select("*", F.explode(F.array(U.normalize(F.col("href"), F.col("url")))).alias("dst"))
+    return found.select("*", F.explode(F.array(U.normalize_in(F.col("href"), F.col("__base")))).alias("dst")).drop("__base")
+
+
+def standard_links(pages: DataFrame, key: str = "page_id") -> DataFrame:
+    """key, url, pos, dst and internal: each page's links, once each without its fragment, in order of first use. Junk schemes do not count."""
+    base = F.explode(F.array(U.parts(U.joinable_base(F.col("url"))))).alias("__base")
+    hrefs = F.regexp_extract_all("html", F.lit(r"""(?is)<a\b[^>]*?\bhref=["']([^"']*)["']"""), F.lit(1))
+    hrefs = F.filter(F.transform(hrefs, lambda h: U.strip(unescape(h))), lambda h: (h != "") & ~h.rlike("^(javascript:|mailto:|tel:|#)"))
+    urls = pages.select(key, "url", "html", base).select(key, "url", F.array_distinct(F.transform(hrefs, lambda h: F.regexp_replace(U.resolve_in(h, F.col("__base")), "(?s)#.*$", ""))).alias("dsts"))
+    return urls.select(key, "url", F.posexplode("dsts").alias("pos", "dst")).withColumn("internal", internal_link(F.col("dst"), F.col("url")))
+
+
+def rejections(links: DataFrame, accepted: Column, junk: Column, key: str = "page_id") -> DataFrame:
+    """Per page, how many links (key, url, pos, href, dst) go by the first reason that holds, and how many stay."""
+    reason = F.when(F.col("href").rlike(U.JUNK_RE), "nonhttp").when(F.col("dst").isNull(), "normalize").when(U.netloc(F.col("dst")) != U.domain(F.col("url")), "external").when(junk, "junk").when(~accepted, "scope")
+    first = F.col("pos") == F.min("pos").over(Window.partitionBy(key, "dst"))
+    df = links.withColumn("reason", F.coalesce(reason, F.when(~first, "dedup"), F.lit("accepted")))
+    return df.groupBy(key).agg(*(F.count_if(F.col("reason") == r).alias(r) for r in ("external", "nonhttp", "normalize", "junk", "scope", "dedup", "accepted")))
 
 
 def link_class(url: Column, href: Column, dst: Column, accepted: Column) -> Column:

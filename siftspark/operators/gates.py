@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import urls as U
+from .classify import contents_list_only
 
 # Fixed values.
 ERROR_PHRASES = ["page not found", "404", "not available", "access denied", "forbidden", "unauthorized", "no permission", "error occurred"]
@@ -19,6 +20,10 @@ JUNK_PATTERNS = [
 EXPIRY_PATTERNS = ["accounts.sap.com", "/saml2/idp/sso", "/saml/", "/nidp/", "/adfs/", "/idp/", "/login", "login.microsoftonline.com", "authn/SSORedirect", "SAMLRequest="]
 BLOCKED_TYPES = ["image", "media", "font"]
 BLOCKED_SCRIPTS = ["google[-_]?analytics", "googletagmanager", r"facebook\.net", r"doubleclick\.net", r"hotjar\.", r"optimizely\.", r"segment\.(com|io)", r"mixpanel\.", r"amplitude\.", r"fullstory\.", r"newrelic\.", r"sentry\.io"]
+JUNK_PATTERNS_SYNC = JUNK_PATTERNS[:3]
+SHARE, SEARCH, FOOTER, FEEDBACK = ["Share on LinkedIn", "Share on X"], ["Search Unavailable", "No matching results"], ["© Oracle", "About Oracle", "Terms of Use"], ["Was this page helpful"]
+SCRIPT_NOTICES = ["enable javascript", "requires javascript", "need javascript", "browser"]
+FRAMEWORKS = ["react", "vue", "angular", "next", "nuxt", "gatsby", "webpack", "chunk", "bundle", "app.", "main."]
 PORTAL_FLAGS = ["Restricted Card Content", "not authorized to see", "Header Title (Not Shown)"]
 
 
@@ -62,8 +67,9 @@ def json_dump(text: Column) -> Column:
 
 
 def fingerprint(title: Column, text: Column, url: Column) -> Column:
-    """What makes a page a repeat: title, first 1000 characters and path."""
-    return F.md5(F.concat(title, F.lit("|"), F.substring(text, 1, 1000), F.lit("|"), U.path(url)))
+    """What makes a page a repeat: title, first 1000 characters and path; a null counts as empty."""
+    title, text, path = (F.coalesce(x, F.lit("")) for x in (title, text, U.path(url)))
+    return F.md5(F.concat(title, F.lit("|"), F.substring(text, 1, 1000), F.lit("|"), path))
 
 
 def first_of(df: DataFrame, key: Column, order: list[Column]) -> DataFrame:
@@ -93,10 +99,8 @@ def quality_flags(text: Column) -> dict[str, Column]:
     """What navigation and search leave in a page's text."""
     lines = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda s: s.rlike("^[0-9]"))
     return {
-        "share": text.contains("Share on LinkedIn") | text.contains("Share on X"),
-        "search": text.contains("Search Unavailable") | text.contains("No matching results"),
-        "footer": text.contains("© Oracle") | text.contains("About Oracle") | text.contains("Terms of Use"),
-        "feedback": text.contains("Was this page helpful"),
+        **{name: text.rlike(T.quoted(phrases)) for name, phrases in (("share", SHARE), ("search", SEARCH), ("footer", FOOTER), ("feedback", FEEDBACK))},
+        "toc_only": contents_list_only(text),
         "dup_toc": (F.size(lines) > F.size(F.array_distinct(lines))) & (F.size(F.array_distinct(lines)) > 3),
     }
 
@@ -110,8 +114,8 @@ def js_required(html: Column) -> Column:
     body = F.regexp_replace(F.regexp_replace(F.regexp_extract(html, r"(?is)<body[^>]*>(.*?)(</body>|$)", 1), r"(?is)<!--.*?-->", ""), "<[^>]*>", "")
     size = F.length(F.regexp_replace(body, r"\s+", ""))
     root = html.rlike(r"""(?is)<div[^>]*\bid=["']?(root|app|__next|__nuxt)["']?[^>]*>\s*</div>""")
-    notice = F.lower(F.regexp_extract(html, r"(?is)<noscript[^>]*>(.*?)</noscript>", 1)).rlike("enable javascript|requires javascript|need javascript|browser")
+    notice = F.lower(F.regexp_extract(html, r"(?is)<noscript[^>]*>(.*?)</noscript>", 1)).rlike(T.quoted(SCRIPT_NOTICES))
     scripts = F.regexp_count(html, F.lit("(?i)<script\\b"))
-    frameworks = F.size(F.filter(F.regexp_extract_all(html, F.lit(r"(?is)(<script\b[^>]*>.{0,200})"), F.lit(1)), lambda s: F.lower(s).rlike(r"react|vue|angular|next|nuxt|gatsby|webpack|chunk|bundle|app\.|main\.")))
+    frameworks = F.size(F.filter(F.regexp_extract_all(html, F.lit(r"(?is)(<script\b[^>]*>[^<]{0,200})"), F.lit(1)), lambda s: F.lower(s).rlike(T.quoted(FRAMEWORKS))))
     data = html.contains("application/ld+json") & (size < 300)
     return (size < 150) | root | notice | ((size < 500) & ((scripts > 15) | (frameworks >= 2))) | data

@@ -13,6 +13,69 @@ def snapshot(timings: DataFrame) -> DataFrame:
     return timings.agg(n("ok").alias("pages_ok"), n("skipped").alias("pages_skipped"), n("failed").alias("pages_failed"), F.count("*").alias("total_processed"), F.coalesce(F.round(positive, 4), F.lit(0.0)).alias("avg_ms"), F.max("total_ms").alias("max_ms"))
 
 
+def totals(timings: DataFrame) -> DataFrame:
+    """One row: sums and averages of a run. timings: ts, status (ok, skipped, failed, timeout), total_ms, navigate_ms, extract_ms, words, links, bytes, queued, retries, enqueued.
+
+    Words count for pages that are ok, links and bytes for all; averages are over positive times; the overall rate is ok pages by
+    the seconds from the first event to the last. Nulls count as 0.
+    """
+    ok = F.col("status") == "ok"
+    whole = lambda c, when=None: F.coalesce(F.sum(F.when(when, F.col(c)) if when is not None else F.col(c)), F.lit(0)).cast("bigint")
+    positive = lambda c: F.coalesce(F.round(F.avg(F.when(F.col(c) > 0, F.col(c))), 4), F.lit(0.0))
+    seconds = (F.unix_micros(F.max(F.col("ts").cast("timestamp"))) - F.unix_micros(F.min(F.col("ts").cast("timestamp")))) / F.lit(1e6)
+    df = timings.agg(
+        F.count_if(ok).alias("pages_crawled"), F.count_if(F.col("status") == "skipped").alias("pages_skipped"), F.count_if(F.col("status").isin("failed", "timeout")).alias("pages_failed"),
+        whole("retries").alias("pages_retried"), whole("enqueued").alias("total_enqueued"), whole("words", ok).alias("total_words"), whole("links").alias("total_links"), whole("bytes").alias("total_bytes"),
+        positive("total_ms").alias("avg_page_ms"), positive("navigate_ms").alias("avg_navigate_ms"), positive("extract_ms").alias("avg_extract_ms"), F.coalesce(F.max("queued"), F.lit(0)).alias("queue_peak"), F.coalesce(seconds, F.lit(0.0)).alias("elapsed_sec"),
+    )
+    rate = F.when(F.col("elapsed_sec") > 0, F.round(F.col("pages_crawled") / F.col("elapsed_sec"), 4)).otherwise(0.0)
+    words = F.when(F.col("pages_crawled") > 0, F.round(F.col("total_words") / F.col("pages_crawled"), 4)).otherwise(0.0)
+    return df.withColumn("pages_per_sec_overall", rate).withColumn("avg_words_per_page", words)
+
+
+def stop_reason(crawled: Column, skipped: Column, most: int, stopped: bool = False, error: str | None = None) -> Column:
+    """Why a run ended."""
+    if error is not None:
+        return F.lit(f"Error: {error}")
+    if stopped:
+        return F.lit("User requested stop")
+    exhausted = F.format_string(f"Queue exhausted — only %d useful pages found on this site (skipped %d, requested {most})", crawled, skipped)
+    return F.when(crawled >= most, f"MAX_PAGES limit reached ({most})").otherwise(exhausted)
+
+
+def run_record(timings: DataFrame, most: int, scope: str = "", workers: int = 6) -> DataFrame:
+    """The record of a run: `totals`, the trailing rate at its end, the 95th percentile of its last 1000 pages, why it ended."""
+    ends = timings.agg(F.max(F.unix_micros(F.col("ts").cast("timestamp"))).alias("__end"))
+    last = timings.select(F.unix_micros(F.col("ts").cast("timestamp")).alias("__t")).join(F.broadcast(ends), F.col("__t") >= F.col("__end") - 30_000_000)
+    rolling = last.agg(F.round(F.count("*") / 30.0, 4).alias("pages_per_sec_rolling"))
+    slow = p95(last_rows(timings, [F.desc("ts"), F.desc("event_id")])).select(F.col("p95_ms").alias("p95_page_ms"))
+    df = totals(timings).crossJoin(F.broadcast(rolling)).crossJoin(F.broadcast(slow))  # one row each
+    return df.withColumn("workers", F.lit(workers)).withColumn("scope", F.lit(scope)).withColumn("stop_reason", stop_reason(F.col("pages_crawled"), F.col("pages_skipped"), most))
+
+
+def attempts(tries: DataFrame, key: str, most: int = 2) -> DataFrame:
+    """Per page: attempts made (of its tries in order, until one succeeds or `most` have been made again) and whether it succeeded. tries: key, attempt, ok."""
+    w = Window.partitionBy(key).orderBy("attempt")
+    before = F.coalesce(F.max(F.col("ok").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    made = tries.withColumn("__done", before).withColumn("__i", F.row_number().over(w)).where((F.col("__done") == 0) & (F.col("__i") <= most + 1))
+    return made.groupBy(key).agg(F.count("*").alias("attempts"), F.max("ok").alias("ok"))
+
+
+def paced(rate: float, crawl_delay: Column) -> Column:
+    """The request rate that a crawl delay leaves: the smaller of `rate` and one in that many seconds."""
+    return F.when(crawl_delay > 0, F.least(F.lit(float(rate)), F.lit(1.0) / crawl_delay)).otherwise(F.lit(float(rate)))
+
+
+def url_summary(pages: DataFrame, url: str, words: str) -> DataFrame:
+    """One row: different URLs, all words, and words a page."""
+    return pages.agg(F.count_distinct(url).alias("unique_urls"), F.coalesce(F.sum(words), F.lit(0)).cast("bigint").alias("total_words"), F.coalesce(F.round(F.avg(words), 4), F.lit(0.0)).alias("avg_words"))
+
+
+def heading_count(headings: Column) -> Column:
+    """All headings of a page."""
+    return F.aggregate(F.map_values(headings), F.lit(0), lambda n, v: n + F.size(v))
+
+
 def last_rows(timings: DataFrame, order: list[Column], n: int = 1000) -> DataFrame:
     return timings.orderBy(*order).limit(n)
 

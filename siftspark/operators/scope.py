@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
@@ -74,6 +74,14 @@ def depth_score(path: Column, scope: Column) -> Column:
     return F.when(scope == "/", F.greatest(F.lit(0.1), F.lit(1.0) / (F.lit(1.0) + extra))).otherwise(low)
 
 
+def readmitted(links: DataFrame, root: str, found: int, rejected: Column) -> DataFrame:
+    """The links of a first page: those in scope, or if there are none but some were rejected, all of the root's whole domain."""
+    if found:
+        return links.where(~rejected)
+    whole = U.site_root(F.lit(root))
+    return links.where(in_scope(F.col("dst"), whole))
+
+
 def widened(a: Column, b: Column) -> Column:
     """The longest common run of leading segments of two paths: the scope that holds both."""
     pairs = F.zip_with(F.filter(F.split(a, "/"), lambda s: s != ""), F.filter(F.split(b, "/"), lambda s: s != ""), lambda x, y: F.when(x == y, x))

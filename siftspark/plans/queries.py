@@ -336,13 +336,15 @@ def json_dump_gate(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "events").select("event_id", gates.json_dump(F.col("props")).alias("is_json"))
 
 
+_LINES = r"list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '')"
 _DUP = "list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: regexp_matches(x, '^[0-9]'))"
 
 
 @_query(f"""WITH f AS (SELECT contains(text, 'Share on LinkedIn') OR contains(text, 'Share on X') AS share, contains(text, 'Search Unavailable') OR contains(text, 'No matching results') AS search,
   contains(text, '© Oracle') OR contains(text, 'About Oracle') OR contains(text, 'Terms of Use') AS footer, contains(text, 'Was this page helpful') AS feedback,
+  len({_LINES}) > 5 AND len(list_filter({_LINES}, lambda x: regexp_matches(x, '^([0-9]|Title|Get Help)'))) > 0.7 * len({_LINES}) AS toc_only,
   len({_DUP}) > len(list_distinct({_DUP})) AND len(list_distinct({_DUP})) > 3 AS dup_toc FROM documents)
-SELECT count(*) FILTER (share) AS share, count(*) FILTER (search) AS search, count(*) FILTER (footer) AS footer, count(*) FILTER (feedback) AS feedback, count(*) FILTER (dup_toc) AS dup_toc, count(*) AS docs FROM f""")
+SELECT count(*) FILTER (share) AS share, count(*) FILTER (search) AS search, count(*) FILTER (footer) AS footer, count(*) FILTER (feedback) AS feedback, count(*) FILTER (dup_toc) AS dup_toc, count(*) FILTER (toc_only) AS toc_only, count(*) AS docs FROM f""")
 def quality_flags(s: SparkSession, d: str) -> DataFrame:
     return _docs(s, d).agg(*(F.count_if(c).alias(k) for k, c in gates.quality_flags(F.col("text")).items()), F.count("*").alias("docs"))
 
@@ -741,15 +743,11 @@ def export_corpus_json(s: SparkSession, d: str) -> DataFrame:
     return files.corpus_json(chunking.chunks(_docs(s, d).select("doc_id", "text"), "text"))
 
 
-@_query(f"WITH {_PAGE_TEXT}, {_PARTS}, c AS (SELECT t.page_id, lower(netloc) AS host, {_WORDS.format('body')} AS n FROM t JOIN u USING (page_id, url)) SELECT host, count(*) AS chunks, sum(n)::BIGINT AS words, sum(n * 13 // 10)::BIGINT AS tokens FROM c WHERE n BETWEEN 20 AND 600 GROUP BY host")
-def host_corpus(s: SparkSession, d: str) -> DataFrame:
-    """Pages to single-chunk documents to words and tokens a host."""
-    df = _page_text(s, d).select(U.domain(F.col("url")).alias("host"), T.word_count(F.col("body")).cast("bigint").alias("n")).where("n between 20 and 600")
-    return df.groupBy("host").agg(F.count("*").alias("chunks"), F.sum("n").alias("words"), F.sum(T.token_estimate(F.col("n")).cast("bigint")).alias("tokens"))
-
-
 @_query(_chunk_sql("text").replace("WITH RECURSIVE ", f"WITH RECURSIVE {_PAGE_TEXT}, {_PARTS}, documents AS (SELECT page_id AS doc_id, body AS text FROM t), ", 1) + f", h AS (SELECT lower(netloc) AS host, {_WORDS.format('content')} AS n FROM c JOIN u ON u.page_id = c.doc_id) SELECT host, count(*) AS chunks, sum(n)::BIGINT AS words, sum(n * 13 // 10)::BIGINT AS tokens FROM h GROUP BY host")
 def host_chunks(s: SparkSession, d: str) -> DataFrame:
     """Pages of any length to chunks to words and tokens a host."""
     df = chunking.chunks(_page_text(s, d).select(U.domain(F.col("url")).alias("host"), "body"), "body").select("host", T.word_count(F.col("content")).cast("bigint").alias("n"))
     return df.groupBy("host").agg(F.count("*").alias("chunks"), F.sum("n").alias("words"), F.sum(T.token_estimate(F.col("n")).cast("bigint")).alias("tokens"))
+
+
+from . import crawls  # noqa: E402,F401  (registers its queries)

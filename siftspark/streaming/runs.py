@@ -23,11 +23,12 @@ def events(spark: SparkSession, path: str) -> DataFrame:
 def finished(stream: DataFrame, mode: str) -> DataFrame:
     """Run a stream over all that is there and return what it wrote; state and output are in the shared folder.
 
-    In complete mode a later batch replaces the output; in append mode it adds to it.
+    In complete mode a later batch replaces the output; in append mode it adds to it, each batch in a folder
+    of its own, so that a batch that is run again after a failure replaces what it wrote.
     """
     spark = stream.sparkSession
     base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    write = lambda df, _: df.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{base}/out")
+    write = lambda df, batch: df.write.mode("overwrite").parquet(f"{base}/out" if mode == "complete" else f"{base}/out/batch={batch}")
     stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
@@ -38,9 +39,11 @@ def rolling_counts(stream: DataFrame, seconds: int = 30, every: int = 10) -> Dat
     return stream.withWatermark("ts", "1 minute").groupBy(w).agg(F.count("*").alias("events")).select(F.col("window.start").alias("window_start"), "events", (F.col("events") / F.lit(float(seconds))).alias("rate"))
 
 
-def first_seen(stream: DataFrame, keys: list[str]) -> DataFrame:
-    """The keys of the stream, each once."""
-    return stream.select(*keys).dropDuplicates(keys)
+def first_seen(stream: DataFrame, keys: list[str], within: str | None = None) -> DataFrame:
+    """The keys of the stream, each once: of the whole stream, whose state is all keys, or once `within` an interval of `ts`, whose state is bounded."""
+    if within is None:
+        return stream.select(*keys).dropDuplicates(keys)
+    return stream.withWatermark("ts", within).dropDuplicatesWithinWatermark(keys).select(*keys)
 
 
 def token_bucket(stream: DataFrame, key: str, rate: float) -> DataFrame:

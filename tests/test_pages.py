@@ -104,5 +104,5 @@ def test_sources(spark, tmp_path):
     (tmp_path / "h.org.txt").write_text("User-agent: *\n")
     urls = lambda name: sorted(r["url"] for r in files.url_set(spark, f"{tmp_path}/{name}").collect())
     assert urls("s.xml") == ["http://h/a", "http://h/b"] and urls("c.json") == ["http://h/a", "http://h/c"]
-    assert sorted(tuple(r) for r in files.topic_map(spark, f"{tmp_path}/toc.json").collect()) == [("/a", "1"), ("/a/b", "2"), ("/c", "3")]
+    assert sorted(tuple(r) for r in files.topic_map(spark, f"{tmp_path}/toc.json").collect()) == [("/a", "toc", "1"), ("/a/b", "toc", "2"), ("/c", "toc", "3")]
     assert files.robots(spark, f"{tmp_path}/h.org.txt").first()["origin"] == "h.org"
