@@ -65,7 +65,7 @@ class Scope:
 
     def score(self, url: Column) -> Column:
         """1 at the scope path and less below it; 0 outside."""
-        return F.when(self.accept(url), depth_score(U.canonical(url)["path"], U.scope_path(U.canonical(F.lit(self.root))["path"]))).otherwise(F.lit(0.0))
+        return F.when(self.accept(url), U.let(U.canonical(url)["path"], lambda p: depth_score(p, U.scope_path(U.canonical(F.lit(self.root))["path"])))).otherwise(F.lit(0.0))
 
 
 def depth_score(path: Column, scope: Column) -> Column:

@@ -30,7 +30,7 @@ def finished(stream: DataFrame, mode: str) -> DataFrame:
     base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     write = lambda df, batch: df.write.mode("overwrite").parquet(f"{base}/out" if mode == "complete" else f"{base}/out/batch={batch}")
     stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{base}/out")
+    return spark.read.schema(stream.schema).parquet(f"{base}/out").select(*stream.columns)
 
 
 def rolling_counts(stream: DataFrame, seconds: int = 30, every: int = 10) -> DataFrame:
