@@ -5,7 +5,6 @@ Words are runs of bytes other than 9-13 and 32, so UTF-8 text never needs decodi
 
 from __future__ import annotations
 
-import gc
 import uuid
 from collections.abc import Iterator
 
@@ -20,6 +19,7 @@ _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _POWERS: list[np.ndarray] = []
 _STORED: list[str] = []
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -28,21 +28,24 @@ LOWER[65:91] += 32
 
 
 def store(df: DataFrame, label: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: lost executors lose nothing."""
-    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    """Write df as a table in the shared folder and read it back: lost executors lose nothing.
+
+    The shuffle files behind the table are deleted with the end of its job: nothing reads them again.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     _STORED.append(path)
     found = df.sparkSession.read.schema(df.schema).parquet(path)
     found.stored_at = path
     return found
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner delete the shuffle files of finished steps: it does so when the driver has collected their plans."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def drop(spark: SparkSession, *tables: DataFrame) -> None:
     """Delete stored tables that no later step reads; without tables, all that this process has stored."""
     paths = [t.stored_at for t in tables] if tables else list(_STORED)
