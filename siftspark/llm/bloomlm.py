@@ -248,7 +248,7 @@ def token_counts(train: DataFrame, shards: int) -> DataFrame:
                 tally.add(np.cumsum(_unsqueezed(k.as_py(), np.uint64)), _unsqueezed(c.as_py(), np.uint32).astype(np.int64))
         keys, counts = tally.merged()
         most = np.sort(np.lexsort((keys, -counts))[: HEADS // shards])
-        cells = [key[0].as_py(), len(keys), int(counts.sum()), keys.tobytes(), counts.tobytes(), keys[most].tobytes(), counts[most].tobytes()]
+        cells = [key[0].as_py(), len(keys), int(counts.sum()), _squeezed(_steps(keys)), _squeezed(counts), keys[most].tobytes(), counts[most].tobytes()]
         yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(cells, (pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 4), strict=True)], names=["shard", "distinct", "total", "keys", "counts", "head_keys", "head_counts"])
 
     dealt = train.select("text").mapInArrow(count, "shard int, keys binary, counts binary")
@@ -359,7 +359,7 @@ def _blocks(train: DataFrame, model: Model) -> DataFrame:
         if pairs.rows:
             names, times = pairs.merged()
             kept = times >= MIN_COUNT
-            out.append((section, copy, 2, names[kept].tobytes(), times[kept].tobytes()))
+            out.append((section, copy, 2, _squeezed(_steps(names[kept])), _squeezed(times[kept])))
         if triples.rows:
             names, times, keys, before = triples.merged()
             kept = (times >= MIN_COUNT) & (before > 0)
@@ -375,7 +375,7 @@ def _blocks(train: DataFrame, model: Model) -> DataFrame:
         tally = _Tally()
         for batch in batches:
             for raw, times in zip(batch.column("data"), batch.column("counts"), strict=True):
-                tally.add(np.frombuffer(raw.as_py(), np.uint64), np.frombuffer(times.as_py(), np.int64))
+                tally.add(np.cumsum(_unsqueezed(raw.as_py(), np.uint64)), _unsqueezed(times.as_py(), np.int64))
         keys, times = tally.merged()
         context, followed, types = _sums(keys >> np.uint64(SECOND_BITS), times, np.ones(len(keys), np.int64))
         many = types > 1
@@ -488,7 +488,7 @@ def score(rows: DataFrame, model: Model) -> DataFrame:
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         """Tail tokens with their exact counts, on their way to the cells of the tokens before them."""
         out = [cells(np.zeros(0, np.int64), *[np.zeros(0, np.uint64)] * 5)]
-        counted = [np.frombuffer(right.column(c)[0].as_py(), t) for c, t in (("keys", np.uint64), ("counts", np.int64))] if right.num_rows else None
+        counted = (np.cumsum(_unsqueezed(right.column("keys")[0].as_py(), np.uint64)), _unsqueezed(right.column("counts")[0].as_py(), np.int64)) if right.num_rows else None
         for part in chunks(left):
             key, two, often, rows, spans = unpacked(part)
             tokens, to = np.frombuffer(b"".join(part["tokens"]), np.uint64), np.frombuffer(b"".join(part["cells"]), np.uint32).astype(np.int64)
