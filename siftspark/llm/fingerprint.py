@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import common
+
 BIN_BITS = 7
 BINS = 1 << BIN_BITS
 VALUE_BITS = 8
@@ -54,36 +56,34 @@ def likeness(df: DataFrame, a: str, b: str, name: str) -> DataFrame:
     return df.withColumn(name, F.expr(f"least(1D, greatest(0D, ({share} - {chance}D) / {1 - chance}D))")).select(*kept)
 
 
-def places(keys: DataFrame, key: str) -> list[DataFrame]:
+def places(keys: DataFrame, key: str) -> tuple[tuple[int, int], list[DataFrame]]:
     """How to deal rows into buckets of neighbouring keys, in steps.
 
     Step 0 cuts the keys' range into equal parts; each step after it cuts the parts with more than CROWDED times
-    BUCKET_ROWS rows again, where keys crowd. A table has `__of` (a part, a list of one number for each step before), `low` and
-    `width`: one row at step 0, and rows / (CROWDED * BUCKET_ROWS) at most after it, MAX_BUCKETS at most.
+    BUCKET_ROWS rows again, where keys crowd. The first step is (low, width); each other is a stored table of `__of` (a
+    part, a list of one number for each step before), `low` and `width`, of rows / (CROWDED * BUCKET_ROWS) rows and MAX_BUCKETS at most.
     """
     low, high, rows = keys.agg(F.min(key), F.max(key), F.count("*")).first()
-    spark = keys.sparkSession
     parts = max(1, min(MAX_BUCKETS, rows // BUCKET_ROWS))
-    first = (0, 1) if low is None else (low, min((high - low) // parts + 1, (1 << 63) - 1))
-    out = [spark.createDataFrame([([], *first)], "__of array<bigint>, low bigint, width bigint")]
-    while len(out) < 4:
+    first, out = (0, 1) if low is None else (low, min((high - low) // parts + 1, (1 << 63) - 1)), []
+    while len(out) < 3:
         crowd = max(CROWDED * BUCKET_ROWS, rows // MAX_BUCKETS)
-        dealt = in_buckets(keys.select(key), out, key).groupBy("__bucket").agg(F.min(key).alias("low"), F.max(key).alias("high"), F.count("*").alias("n"))
+        dealt = in_buckets(keys.select(key), (first, out), key).groupBy("__bucket").agg(F.min(key).alias("low"), F.max(key).alias("high"), F.count("*").alias("n"))
         dense = dealt.where((F.col("n") > crowd) & (F.col("high") > F.col("low")))
         pieces = F.least(F.lit(MAX_BUCKETS), F.floor(F.col("n") / BUCKET_ROWS))
-        found = dense.withColumn("pieces", pieces).selectExpr("__bucket as __of", "low", "(cast(high as decimal(20, 0)) - low) div pieces + 1 as width").collect()
-        if not found:
+        found = common.store(dense.withColumn("pieces", pieces).selectExpr("__bucket as __of", "low", "(cast(high as decimal(20, 0)) - low) div pieces + 1 as width"), "places")
+        if found.isEmpty():
             break
-        out.append(spark.createDataFrame(found, "__of array<bigint>, low bigint, width bigint"))
-    return out
+        out.append(found)
+    return first, out
 
 
-def in_buckets(df: DataFrame, steps: list[DataFrame], key: str) -> DataFrame:
+def in_buckets(df: DataFrame, steps: tuple[tuple[int, int], list[DataFrame]], key: str) -> DataFrame:
     """df with `__bucket`, its part at each step: an array that orders as the keys do. Null keys come before all."""
-    _, low, width = steps[0].first()
+    (low, width), tables = steps
     part = lambda low, width: F.expr(f"coalesce((cast({key} as decimal(20, 0)) - {low}) div {width}, -1L)")
     df = df.withColumn("__bucket", F.array(part(low, width)))
-    for table in steps[1:]:
+    for table in tables:
         df = df.join(F.broadcast(table), F.col("__bucket") == F.col("__of"), "left")
         df = df.withColumn("__bucket", F.when(F.col("__of").isNotNull(), F.concat("__bucket", F.array(part("low", "width")))).otherwise(F.col("__bucket"))).drop("__of", "low", "width")
     return df
