@@ -288,7 +288,7 @@ def log_probability(pairs: Filter, triples: Filter, keys: np.ndarray, before: np
 def fit(train: DataFrame, rows: int) -> Model:
     """The model of the column text of train, a table of at most `rows` rows."""
     shards = min(MAX_SHARDS, max(MIN_SHARDS, 1 << max(0, rows // SHARD_DOCUMENTS - 1).bit_length()))
-    counts = common.store(token_counts(train, shards), "tokens")
+    counts = common.store(token_counts(train, shards), "tokens", clean=True)
     found = counts.select("shard", "total", "distinct", "head_keys", "head_counts").collect()  # MAX_SHARDS rows, HEADS tokens at most
     total, distinct = sum(r["total"] for r in found), sum(r["distinct"] for r in found)
     heads = _Tally()
@@ -383,7 +383,7 @@ def _blocks(train: DataFrame, model: Model) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([raw.tobytes()], pa.binary())], names=["section", "block"])
 
     dealt = train.select("text").mapInArrow(count, "section int, copy int, order int, keys binary, before binary, counts binary")
-    merged = common.store(dealt.groupBy("section", "copy").applyInArrow(merge, "section int, copy int, order int, data binary, counts binary"), "runs")
+    merged = common.store(dealt.groupBy("section", "copy").applyInArrow(merge, "section int, copy int, order int, data binary, counts binary"), "runs", clean=True)
     pairs = merged.where("order = 2").groupBy("section").applyInArrow(build, "section int, block binary")
     cells = F.explode(F.sequence(F.lit(0), F.get(F.array(*(F.lit(int(x)) for x in copies)), F.col("section")) - 1))
     pairs = pairs.select("section", cells.alias("copy"), F.lit(2).alias("order"), "block")

@@ -27,19 +27,21 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-def store(df: DataFrame, label: str) -> DataFrame:
+def store(df: DataFrame, label: str, clean: bool = False) -> DataFrame:
     """Write df as a table in the shared folder and read it back: lost executors lose nothing.
 
-    The shuffle files behind the table are deleted with the end of its job: nothing reads them again.
+    With clean, the shuffle files behind the table are deleted with the end of its job, as nothing reads them again: worth it where they are large.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
+    if clean:
+        spark.conf.set(_CLEANUP, "true")
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+        if clean:
+            spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     _STORED.append(path)
     found = df.sparkSession.read.schema(df.schema).parquet(path)
     found.stored_at = path
