@@ -6,20 +6,23 @@ Words are runs of bytes other than 9-13 and 32, so UTF-8 text never needs decodi
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from ..sources.tables import shared_dir
 
 SEGMENT = 1 << 20
+BATCH_BYTES = 4 << 20
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _POWERS: list[np.ndarray] = []
 _STORED: list[str] = []
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -58,6 +61,17 @@ def drop(spark: SparkSession, *tables: DataFrame) -> None:
         _STORED.remove(path)
 
 
+def map_arrow(df: DataFrame, run: Callable, schema: T.StructType | str) -> DataFrame:
+    """df.mapInArrow in batches of about BATCH_BYTES (a longer row is a batch of its own), where the session sets no other bound.
+
+    Spark's own bound counts rows, so a batch of long texts would be held whole by the executor and by its worker, on the way in and out.
+    The setting is read as a job starts, so it stays in the session.
+    """
+    if df.sparkSession.conf.get(_BATCH, None) is None:
+        df.sparkSession.conf.set(_BATCH, str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser."""
     x = x ^ (x >> np.uint64(30))

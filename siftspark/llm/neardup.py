@@ -102,7 +102,7 @@ def signatures(documents: DataFrame, words: int) -> DataFrame:
                 bands.append(band_keys(sketch(items)).view(np.int64) if len(items) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "set_id", "bands"])
 
-    return documents.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, set_id binary, bands array<bigint>")
+    return common.map_arrow(documents.select(F.col("doc_id").cast("bigint"), "text"), run, "doc_id bigint, n_shingles bigint, set_id binary, bands array<bigint>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
@@ -121,7 +121,7 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
 
     both = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("b_text")), "b")
     both = both.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("a_text")), "a")
-    return both.select("a", "b", "a_text", "b_text").mapInArrow(run, "a bigint, b bigint")
+    return common.map_arrow(both.select("a", "b", "a_text", "b_text"), run, "a bigint, b bigint")
 
 
 def stars(edges: DataFrame) -> DataFrame:
@@ -165,7 +165,7 @@ def shingle_counts(texts: DataFrame, words: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["block", "counts"])
 
     out = np.zeros(COUNTERS, np.int32)
-    for r in texts.select("text").mapInArrow(count, "block int, counts binary").groupBy("block").applyInArrow(add, "block int, counts binary").collect():
+    for r in common.map_arrow(texts.select("text"), count, "block int, counts binary").groupBy("block").applyInArrow(add, "block int, counts binary").collect():
         out[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(r["counts"], np.int32)
     return out
 
@@ -192,7 +192,7 @@ def prefixes(texts: DataFrame, words: int, percent: int) -> DataFrame:
                     names=["shingle", "rep", "n", "at", "component"],
                 )
 
-    return texts.select("rep", "component", "text").mapInArrow(run, "shingle bigint, rep bigint, n bigint, at bigint, component bigint")
+    return common.map_arrow(texts.select("rep", "component", "text"), run, "shingle bigint, rep bigint, n bigint, at bigint, component bigint")
 
 
 def links(documents: DataFrame, signed: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:

@@ -70,7 +70,7 @@ def pieces(documents: DataFrame, vocabulary: str, length: int = LENGTH) -> DataF
             columns = np.array(rows, np.int64).reshape(-1, 6).T
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(source, pa.int64())), *map(pa.array, columns)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "part", "rank"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, part bigint, rank bigint")
+    return common.map_arrow(documents.select("doc_id", "text"), run, "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, part bigint, rank bigint")
 
 
 def patterns(histogram: dict[int, int], length: int = LENGTH) -> list[tuple[int, tuple[int, ...]]]:

@@ -167,7 +167,7 @@ def score(documents: DataFrame, weights: np.ndarray, keep: list[str] | None = No
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(scores(batch.column(place), model.value))], names=[f.name for f in fields])
 
-    out = rows.mapInArrow(run, T.StructType(fields))
+    out = common.map_arrow(rows, run, T.StructType(fields))
     if above is not None:
         return out.where(F.col("score") >= above).select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)))
     return out.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)), "score")

@@ -574,3 +574,21 @@ def test_pipeline(spark):
     assert sum(r["length"] for r in packed) == sum(len(packing.encoder(RANKS)(r["text"])) + 1 for r in mixed)
     whole = corpus_pipeline.run(spark, DIR).collect()
     assert Counter((r["doc_id"], r["start"], r["length"], r["ids_crc32"]) for r in whole) == Counter((r["doc_id"], r["start"], r["length"], r["ids_crc32"]) for r in packed)
+
+
+def test_batches_are_bounded_by_bytes(spark):
+    """Batches end by bytes where the session sets no bound, a long row is one batch, and no row is lost."""
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], names=["n", "size"])
+
+    spark.conf.unset(common._BATCH)
+    rows = spark.range(4_000).selectExpr("repeat('x', if(id = 1700, 9000000, 2500)) text").coalesce(1)
+    found = common.map_arrow(rows, sizes, "n bigint, size bigint").collect()
+    assert sum(r["n"] for r in found) == 4_000
+    assert all(r["size"] < common.BATCH_BYTES + 9_100_000 for r in found) and len(found) > 3
+    assert sorted(r["size"] for r in found)[-2] < 2 * common.BATCH_BYTES
+    spark.conf.set(common._BATCH, str(1 << 20))
+    assert len(common.map_arrow(rows, sizes, "n bigint, size bigint").collect()) > len(found)
+    spark.conf.unset(common._BATCH)
