@@ -3,11 +3,14 @@
 import json
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from siftspark.functions import text as T
 from siftspark.operators import classify, content, dom, extract, graph, metrics, robots, scope, sections
+from siftspark.plans.crawls import content_choice
+from siftspark.plans.queries import oracle_sql
 from siftspark.sources import files
 from siftspark.streaming import runs
 
@@ -33,6 +36,33 @@ def test_standard_choice(page, how, text):
     assert content.standard_text(dom.tree(page)) == (text, how)
 
 
+@pytest.mark.parametrize(("markup", "text"), [
+    ("a&amp", "a&amp"), ("a&amp;&amp", "a&&amp"), ("&amp&amp;", "&amp&"), ("&ampx; &notit; &x;", "&ampx; &notit; &x;"), ("&#38 &#x26 &#38; &#x26;", "&#38 &#x26 & &"), ("&eacute;&eacute &am &quo &", "é&eacute &am &quo &"),
+    ("&amp;amp; &amp;lt;", "&amp; &lt;"), ("&amp<b>;</b>", "&amp ;"),
+])
+def test_references_end_with_a_semicolon(markup, text):
+    assert content.standard_text(dom.tree(f"<main>{LONG}<p>{markup}</p></main>")) == (f"{LONG} {text}", "main")
+    assert dom.tree(f"<p>{markup}").text() == text.replace(" ;", ";")
+
+
+def test_references_in_attributes_and_scripts():
+    link, script = dom.tree('<a href="/x?a=1&copy=2&amp;b=3">l</a><script>a &amp; b && c &copy</script>').items
+    assert link.attrs["href"] == "/x?a=1&copy=2&b=3" and script.items == ["a &amp; b && c &copy"]
+
+
+def test_content_choice_of_cut_references(spark, tmp_path):
+    """Titles that were cut inside a reference, as some of the tables' are; at 200 characters each of them counts."""
+    page = lambda text: f"<html><head><title>x</title></head><body><nav>{LONG}</nav><article><h1>{text}</h1><p>{LONG}</p></article><footer>&copy;</footer></body></html>"
+    exact = lambda text, n: f"<body><article><h1>{text}</h1><p>{'x' * (n - 1 - len(text.replace('&amp;', '&')))}</p></article></body>"
+    pages = [page("und&amp;&amp;&amp; ver&amp"), page("a&am"), page("a&quot"), page("a&quot;&amp;"), *(exact(t, n) for t in ("a&amp", "a&amp;") for n in (199, 200)), None]
+    spark.createDataFrame(list(enumerate(pages)), "page_id bigint, html string").selectExpr("page_id", "'http://h/' || page_id AS url", "html").write.parquet(f"{tmp_path}/pages.parquet")
+    got = content_choice(spark, str(tmp_path)).orderBy("page_id").collect()
+    with duckdb.connect() as con:
+        con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+        want = con.execute(f"SELECT page_id, text_from, text_md5 FROM ({oracle_sql()['content_choice']}) ORDER BY page_id").fetchall()
+    assert list(map(tuple, got)) == want and [w[1] for w in want[4:]] == ["other", "main"] * 2 + ["other"]
+
+
 def test_standard_choice_is_cut():
     assert content.standard_text(dom.tree(f"<main>{LONG}</main>"), 10) == (LONG[:10] + "...", "main")
 
